@@ -1,0 +1,6 @@
+"""The covered work has no streams: every input is a finished table.
+
+Nothing is built here on purpose. All operators are plain DataFrame
+transformations, so the narrow ones (name cleaning, class labels, scoring with a
+saved influence table) also accept a streaming DataFrame.
+"""
