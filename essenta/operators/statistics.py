@@ -35,28 +35,23 @@ def spearman(
     expression: DataFrame,
     responses: DataFrame,
     keys: Sequence[str] = ("response",),
-    same_samples: bool = True,
+    within: Sequence[str] = (),
     drop_constant: bool = False,
 ) -> DataFrame:
     """Spearman correlation of every feature with every response: ``(*keys, gene, rho, n)``.
 
-    ``same_samples``: all responses cover the same samples, so features are ranked once.
-    Otherwise they are ranked within each response's samples. A constant feature has a
-    null ``rho``, or no row with ``drop_constant``. This is the true coefficient in
-    [-1, 1].
+    ``within``: the part of ``keys`` that decides the sample set. With none, all responses
+    cover the same samples and features are ranked once; with all keys, they are ranked
+    inside each response's samples. A constant feature has a null ``rho``, or no row with
+    ``drop_constant``. This is the true coefficient in [-1, 1].
     """
-    keys = list(keys)
+    keys, within = list(keys), list(within)
     y = responses.where(F.col("value").isNotNull()).select(*keys, "sample", F.col("value").alias("y"))
-    if same_samples:
-        x = expression.join(y.select("sample").distinct(), "sample", "left_semi")
-        both = average_rank(x, ["gene"], "value", "rx").select("sample", "gene", "rx").join(
-            average_rank(y.join(x.select("sample").distinct(), "sample", "left_semi"), keys, "y", "ry").select(
-                *keys, "sample", "ry"), "sample")
-    else:
-        y = y.join(expression.select("sample").distinct(), "sample", "left_semi")
-        ranked_y = average_rank(y, keys, "y", "ry").select(*keys, "sample", "ry")
-        both = average_rank(expression.join(ranked_y, "sample"), [*keys, "gene"], "value", "rx")
-    out = both.groupBy(*keys, "gene").agg(
+    y = y.join(expression.select("sample").distinct(), "sample", "left_semi")
+    x = expression.select("sample", "gene", "value").join(y.select(*within, "sample").distinct(), "sample")
+    ranked_x = average_rank(x, [*within, "gene"], "value", "rx").drop("value")
+    ranked_y = average_rank(y, keys, "y", "ry").drop("y")
+    out = ranked_x.join(ranked_y, [*within, "sample"]).groupBy(*keys, "gene").agg(
         corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
     return out.where(F.col("rho").isNotNull()) if drop_constant else out
 

@@ -29,10 +29,10 @@ def feature_lists(
     targets = pairs.select(F.col("target").alias("gene")).distinct()
     scores = dependency.join(targets, "gene", "left_semi").withColumnRenamed("gene", "target")
     by_target = top_features(
-        spearman(expression, scores, ["target"], same_samples=False, drop_constant=True), ["target"], k)
+        spearman(expression, scores, ["target"], ["target"], drop_constant=True), ["target"], k)
     responses = ic50.join(pairs.select("drug").distinct(), "drug", "left_semi")
     by_drug = top_features(
-        spearman(expression, responses, ["drug"], same_samples=False, drop_constant=True), ["drug"], k)
+        spearman(expression, responses, ["drug"], ["drug"], drop_constant=True), ["drug"], k)
     found = pairs.join(by_target.select("target", "gene"), "target").select("drug", "gene").unionByName(
         by_drug.select("drug", "gene"))
     own = pairs.select("drug", F.col("target").alias("gene"))

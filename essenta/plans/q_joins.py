@@ -73,10 +73,10 @@ def _(t):
 
 @query("c8_pair_grid", with_("dt") + f"""
 SELECT drug, target, CAST(seed AS INTEGER) AS seed FROM dt, (SELECT unnest({SEEDS}) AS seed)
-WHERE target IN (SELECT p_type FROM part WHERE p_size < 10) AND target IN (SELECT p_type FROM part WHERE p_retailprice > 1000)""")
+WHERE target IN (SELECT p_type FROM part WHERE p_size < 10) AND target IN (SELECT p_type FROM part WHERE p_retailprice > 990)""")
 def _(t):
     dep = t.part.where("p_size < 10").select(F.col("p_type").alias("gene"))
-    expr = t.part.where("p_retailprice > 1000").select(F.col("p_type").alias("gene"))
+    expr = t.part.where("p_retailprice > 990").select(F.col("p_type").alias("gene"))
     return J.pair_grid(t.drug_targets(), dep, expr, SEEDS)
 
 

@@ -33,7 +33,7 @@ def _(t):
 @query("h2_spearman_gaps", with_("expr ic50", GAPS) + f"SELECT drug, gene, {R('rho')} AS rho, n FROM rho")
 def _(t):
     constant = t.expression().select("sample").distinct().select("sample", F.lit("flat").alias("gene"), F.lit(1.0).alias("value"))
-    out = H.spearman(t.expression().unionByName(constant), t.ic50(), ["drug"], same_samples=False, drop_constant=True)
+    out = H.spearman(t.expression().unionByName(constant), t.ic50(), ["drug"], ["drug"], drop_constant=True)
     return out.select("drug", "gene", r("rho").alias("rho"), "n")
 
 
