@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from essenta.operators.order import pick_quantiles, position, value_counts
+from essenta.operators.order import attach, pick_quantiles, position, value_counts
 
 
 def group_mean(df: DataFrame, keys: Sequence[str], value: str = "value", out: str = "mean") -> DataFrame:
@@ -34,9 +34,7 @@ def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     moments = df.where(x.isNotNull()).groupBy(*keys).agg(
         F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
         F.min(value).alias("min"), F.max(value).alias("max"))
-    if keys:
-        return moments.join(quart, list(keys))
-    return moments.join(F.broadcast(quart), F.lit(True))
+    return attach(moments, quart, keys)
 
 
 def cross_table(

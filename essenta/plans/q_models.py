@@ -19,6 +19,11 @@ def joint_responses(t, model_id="m"):
     return t.responses().withColumn("model_id", F.lit(model_id))
 
 
+def per_seed(df, seeds):
+    """One copy per seed, as model ``m<seed>``."""
+    return df.withColumn("model_id", F.explode(F.array(*[F.lit(f"m{s}") for s in seeds])))
+
+
 # Split, folds and moments in SQL: order by md5(sample|seed).
 SPLIT = f"""
 ord AS (SELECT sample, row_number() OVER (ORDER BY md5(sample || '|{SEED}'), sample) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT sample FROM resp)),
@@ -164,9 +169,8 @@ def _(t):
 
 
 def _trained(t, seeds=(SEED,), epochs=30):
-    models = one_model(t).drop("seed", "model_id").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn(
-        "model_id", F.concat(F.lit("m"), F.col("seed")))
-    responses = t.responses().join(F.broadcast(models.select("model_id")), F.lit(True))
+    models = per_seed(one_model(t).drop("seed", "model_id"), seeds).withColumn("seed", F.substring("model_id", 2, 20).cast("int"))
+    responses = per_seed(t.responses(), seeds)
     return training.train(
         t.expression(), responses, models, trials=M.grid_trials([10], [1e-5, 3e-5], [1e-3]), tuning_epochs=epochs,
         training_epochs=2 * epochs, k=10)

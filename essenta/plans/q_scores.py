@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from essenta.operators import scores as S
 from essenta.plans import training
 from essenta.plans.catalog import SEEDS, R, query, r, with_
-from essenta.plans.q_models import one_model
+from essenta.plans.q_models import one_model, per_seed
 
 WT = """
 wt AS (SELECT e.gene, label AS k, avg(e.value) AS w FROM expr e JOIN embeddings ON CAST(vec_id AS VARCHAR) = sample GROUP BY 1, 2),
@@ -134,14 +134,11 @@ def _(t):
 @query("k26_refit_heads")
 def _(t):
     weights, _, _ = model(t)
-    models = one_model(t).drop("seed", "model_id").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS]))).withColumn(
-        "model_id", F.concat(F.lit("m"), F.col("seed")))
+    models = per_seed(one_model(t).drop("seed", "model_id"), SEEDS).withColumn("seed", F.substring("model_id", 2, 20).cast("int"))
     expr = t.expression()
-    every = models.select("model_id")
-    features = expr.select("gene").distinct().join(F.broadcast(every), F.lit(True)).select("model_id", "gene")
-    responses = t.responses().join(F.broadcast(every), F.lit(True))
-    ready = training.prepare(expr, responses, models, features=features, ddof=0)
-    frozen = weights.select("gene", "w").join(F.broadcast(every), F.lit(True))
+    features = per_seed(expr.select("gene").distinct(), SEEDS)
+    ready = training.prepare(expr, per_seed(t.responses(), SEEDS), models, features=features, ddof=0)
+    frozen = per_seed(weights.select("gene", "w"), SEEDS)
     out = S.refit_heads(ready["moments"], frozen)
     return out.groupBy("response", "split").agg(
         r(F.avg("r")).alias("mean"), r(F.stddev_samp("r")).alias("sd"), F.count(F.lit(1)).alias("n"))
