@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from essenta.functions import columns as C
 from essenta.functions.columns import dot
-from essenta.operators.order import attach, median, quantiles, running, top_rows
+from essenta.operators.order import attach, group_sizes, median, quantiles, running, top_rows
 from essenta.operators.topk import top_with_ties
 from essenta.session import bounded_broadcast, cut
 
@@ -70,9 +70,10 @@ def cell_number(counts: DataFrame) -> DataFrame:
 def mad_outlier(df: DataFrame, metric: str, keys: Sequence[str] = ("plate",), mads: float = OUTLIER_MADS, out: str = "outlier") -> DataFrame:
     """True when further than ``mads`` raw median absolute deviations from the group median."""
     keys = list(keys)
-    mid = median(df, keys, metric, "_mid")
+    largest = group_sizes(df, keys)[0]  # the deviations fall into the same groups
+    mid = median(df, keys, metric, "_mid", largest)
     dev = attach(df, mid, keys).withColumn("_dev", F.abs(F.col(metric) - F.col("_mid")))
-    spread = median(dev, keys, "_dev", "_mad")
+    spread = median(dev, keys, "_dev", "_mad", largest)
     wide = F.col("_mad") * mads
     return attach(dev, spread, keys).withColumn(
         out, (F.col(metric) < F.col("_mid") - wide) | (F.col("_mid") + wide < F.col(metric))).drop("_mid", "_mad", "_dev")
@@ -80,15 +81,12 @@ def mad_outlier(df: DataFrame, metric: str, keys: Sequence[str] = ("plate",), ma
 
 def outlier_cells(metrics: DataFrame, columns: Sequence[str] = ("log1p_total", "log1p_genes", "pct_top_20")) -> DataFrame:
     """Cells that are an outlier of their plate in any of the metrics."""
-    # six medians read the metrics, one row per cell
-    out = cut(metrics)
-    for c in columns:
-        out = mad_outlier(out, c, out=f"_{c}")
-    flags = [F.col(f"_{c}") for c in columns]
-    any_flag = flags[0]
-    for f in flags[1:]:
-        any_flag = any_flag | f
-    return out.withColumn("outlier", any_flag).drop(*[f"_{c}" for c in columns])
+    # the medians read the metrics, one row per cell and metric, several times
+    metrics = cut(metrics)
+    long = metrics.select(*CELL, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        CELL, list(columns), "_metric", "_x")
+    flags = mad_outlier(long, "_x", ["plate", "_metric"], out="_out").groupBy(*CELL).agg(F.bool_or("_out").alias("outlier"))
+    return metrics.join(flags, CELL)
 
 
 def keep_genes(counts: DataFrame, keys: Sequence[str] = ("plate",), total: int = GENE_TOTAL) -> DataFrame:
@@ -123,7 +121,7 @@ def gene_moments(values: DataFrame, n_cells: DataFrame, value: str = "value") ->
     n = F.col("n_cells").cast("double")
     mean = F.col("_s") / n
     return attach(sums, n_cells).select(
-        "gene", mean.alias("mean"), F.greatest((F.col("_ss") - n * mean * mean) / (n - 1), F.lit(0.0)).alias("variance"))
+        "gene", mean.alias("mean"), F.greatest((F.col("_ss") - n * mean * mean) / F.nullif(n - 1, F.lit(0.0)), F.lit(0.0)).alias("variance"))
 
 
 def variable_genes(moments: DataFrame, share: float = VARIABLE_SHARE, number: int | None = None) -> DataFrame:

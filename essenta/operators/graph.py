@@ -13,36 +13,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from essenta.operators.order import attach, position, top_rows
+from essenta.operators.order import attach, position, split_goal, top_rows
 from essenta.operators.topk import feature_set
-from essenta.session import bounded_broadcast, cut
+from essenta.session import cut
 
 
-def both_ways(edges: DataFrame, weight: str = "weight") -> DataFrame:
-    """Both directions of every edge; parallel edges keep the smallest weight, loops go."""
-    forward = edges.select("src", "dst", F.col(weight).cast("double").alias("weight"))
+def both_ways(edges: DataFrame, weight: str | None = "weight") -> DataFrame:
+    """Both directions of every edge; parallel edges keep the smallest weight, loops go.
+
+    Without a weight column every edge counts 1.
+    """
+    size = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    forward = edges.select("src", "dst", size.alias("weight"))
     backward = forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     return forward.unionByName(backward).where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
 
 
+class HeldEdges:
+    """Edges partitioned once by source and kept, so a round only moves the node state.
+
+    The edges of a hub above the split size go to several slots, and the state row of that
+    hub is sent to each of them. At most 65,536 hubs can exceed the split size, so their
+    table is broadcast.
+    """
+
+    def __init__(self, moves: DataFrame):
+        goal = split_goal(moves, ["src"])
+        parts = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.hubs = None
+        if goal is None:
+            self.table = moves.repartition(parts, "src").persist()
+        else:
+            hubs = moves.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > goal)
+            self.hubs = cut(hubs.select("src", F.ceil(F.col("_n") / goal).cast("int").alias("_slots")))
+            slot = F.pmod(F.xxhash64("dst"), F.coalesce("_slots", F.lit(1))).cast("int")
+            placed = moves.join(F.broadcast(self.hubs), "src", "left").withColumn("_slot", slot).drop("_slots")
+            self.table = placed.repartition(parts, "src", "_slot").persist()
+        self.table.count()
+
+    def join(self, state: DataFrame) -> DataFrame:
+        """State rows ``(node, ...)`` with the edges that leave their node (``src``, ``dst``)."""
+        sent = state.withColumn("src", F.col("node"))
+        if self.hubs is None:
+            return sent.join(self.table, "src")
+        slots = F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)
+        sent = sent.join(F.broadcast(self.hubs), "src", "left").withColumn("_slot", F.explode(slots)).drop("_slots")
+        return sent.join(self.table, ["src", "_slot"]).drop("_slot")
+
+    def release(self) -> None:
+        self.table.unpersist()
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 
 
 def degree(edges: DataFrame) -> DataFrame:
-    return both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    return both_ways(edges, None).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
 
 
 def neighbours(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Neighbours of a node set, ``(node, neighbour)``."""
     wanted = names.select(F.col("node").alias("src")).distinct()
-    return both_ways(edges).join(wanted, "src", "left_semi").select(
+    return both_ways(edges, None).join(wanted, "src", "left_semi").select(
         F.col("src").alias("node"), F.col("dst").alias("neighbour"))
 
 
 def random_walk(
     edges: DataFrame, hubs: DataFrame, restart: float = 0.4, strength: str = "weight", tol: float = 1e-9,
-    max_iter: int = 1000, check_every: int = 5,
+    max_iter: int = 1000, check_every: int = 4,
 ) -> DataFrame:
     """Random walk with restart from hub nodes: ``(seed_set, node, probability)``.
 
@@ -55,8 +94,8 @@ def random_walk(
     moves = both_ways(edges, strength)
     every = nodes(edges)
     out = moves.groupBy("src").agg(F.sum("weight").alias("_total"))
-    moves = cut(moves.join(out, "src").where("_total > 0").select(
-        "src", "dst", (F.col("weight") / F.col("_total")).alias("_t")))
+    held = HeldEdges(cut(moves.join(out, "src").where("_total > 0").select(
+        "src", "dst", (F.col("weight") / F.col("_total")).alias("_t"))))
     sets = hubs.select("seed_set", "node").distinct()
     found = sets.join(every, "node", "left_semi")
     if sets.join(found.select("seed_set").distinct(), "seed_set", "left_anti").limit(1).count():
@@ -66,7 +105,7 @@ def random_walk(
     home = start.select("seed_set", "node", (F.col("p") * restart).alias("p"))
 
     def step(p: DataFrame) -> DataFrame:
-        spread = p.join(moves, F.col("node") == F.col("src")).select(
+        spread = held.join(p).select(
             "seed_set", F.col("dst").alias("node"), (F.col("p") * F.col("_t") * (1 - restart)).alias("p"))
         return spread.unionByName(home)
 
@@ -83,11 +122,15 @@ def random_walk(
         both = cut(marked.groupBy("seed_set", "node").agg(F.sum("p").alias("p"), F.sum("_old").alias("_old")))
         done += 1
         change = both.groupBy("seed_set").agg(F.sum(F.abs(F.col("p") - F.col("_old"))).alias("_d"))
+        head = change.agg(F.max("_d").alias("largest"), F.count(F.lit(1)).alias("sets")).first()
+        if head["largest"] < tol:
+            p = both.select("seed_set", "node", F.col("_old").alias("p"))
+            break
         # a settled set keeps its iterate, so later rounds of other sets leave it as it is
-        p = both.join(bounded_broadcast(change), "seed_set").select(
+        change = F.broadcast(change) if head["sets"] <= 10_000 else change
+        p = both.join(change, "seed_set").select(
             "seed_set", "node", F.when(F.col("_d") < tol, F.col("_old")).otherwise(F.col("p")).alias("p"))
-        if change.where(F.col("_d") >= tol).limit(1).count() == 0:
-            break
+    held.release()
     return p.withColumnRenamed("p", "probability").unionByName(_unreached(sets, every, p))
 
 
@@ -107,16 +150,17 @@ def hop_paths(edges: DataFrame, source: DataFrame) -> DataFrame:
     ``source``: (node). Returns ``(source, node, distance, n_paths, path)``; the path is the
     smallest by text.
     """
-    moves = cut(both_ways(edges).select("src", "dst"))
+    held = HeldEdges(cut(both_ways(edges, None).select("src", "dst")))
     start = source.join(nodes(edges), "node", "left_semi").select(
         F.col("node").alias("source"), "node", F.lit(0).alias("distance"), F.lit(1.0).alias("n_paths"), F.col("node").alias("path"))
     frontier = seen = cut(start)
     while True:
-        reach = frontier.join(moves, F.col("node") == F.col("src")).groupBy("source", "dst").agg(
+        reach = held.join(frontier).groupBy("source", "dst").agg(
             (F.min("distance") + 1).alias("distance"), F.sum("n_paths").alias("n_paths"),
             F.min(F.concat_ws(":", "path", "dst")).alias("path")).withColumnRenamed("dst", "node")
         frontier = cut(reach.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
         if frontier.limit(1).count() == 0:
+            held.release()
             return seen
         seen = cut(seen.unionByName(frontier))
 
@@ -138,8 +182,9 @@ def weighted_distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     state = cut(starts.select(
         "grp", "node", F.lit(0.0).alias("dist"), F.col("node").alias("root"), F.lit(None).cast("string").alias("pred")))
     changed = state
+    held = HeldEdges(edges)
     while True:
-        offers = changed.join(edges, F.col("node") == F.col("src")).select(
+        offers = held.join(changed).select(
             "grp", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), "root", F.col("node").alias("pred"))
         marked = state.withColumn("_new", F.lit(False)).unionByName(offers.withColumn("_new", F.lit(True)))
         # an offer must beat the present entry, so equal ones never flip
@@ -150,6 +195,7 @@ def weighted_distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
         changed = state.where("_new").drop("_new")
         state = state.drop("_new")
         if changed.limit(1).count() == 0:
+            held.release()
             return state
 
 
@@ -255,8 +301,7 @@ def subset_betweenness(edges: DataFrame, sources: DataFrame, targets: DataFrame,
     Scaled by 1 / ((n - 1)(n - 2)). Path counts run forward and dependencies run backward
     along the shortest-path edges, one hop per round, all sources together.
     """
-    moves = both_ways(edges, length) if length else both_ways(edges.withColumn("weight", F.lit(1.0)))
-    moves = cut(moves)
+    moves = cut(both_ways(edges, length))
     every = nodes(edges)
     n = every.count()
     starts = sources.select("node").distinct().join(every, "node", "left_semi").select(F.col("node").alias("grp"), "node")

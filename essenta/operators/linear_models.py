@@ -79,8 +79,10 @@ def fit(rows: DataFrame, design: Design, background: DataFrame | None = None) ->
     if np.linalg.matrix_rank(cross) < q:
         raise ValueError(f"the design columns {design.names} are linearly dependent")
     inverse = np.linalg.inv(cross)
-
     n = int(shared["n"])
+    if n <= q:
+        raise ValueError(f"{n} samples are too few for {q} design columns")
+
     y = F.col("value")
     sums = rows.join(bounded_broadcast(table), "sample").groupBy("gene").agg(
         F.count(F.lit(1)).alias("_seen"), F.sum(y - bg).alias("_s"), F.sum(y * y - bg * bg).alias("_ss"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from essenta.operators.order import attach, average_rank, pick_quantiles, running
@@ -16,6 +16,10 @@ RATIO_TRIM = 0.3
 INTENSITY_TRIM = 0.05
 
 
+def _positive(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit(0.0))
+
+
 def library_size(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum("count").cast("double").alias("library"))
 
@@ -90,9 +94,9 @@ def trimmed_mean_factors(counts: DataFrame) -> DataFrame:
     kept = ranked.join(size, "sample").withColumn(
         "_keep", inside("_rm", RATIO_TRIM) & inside("_ra", INTENSITY_TRIM))
     raw = kept.groupBy("sample").agg(
-        F.sum(F.when(F.col("_keep"), F.col("_m") / F.col("_v"))).alias("_top"),
-        F.sum(F.when(F.col("_keep"), 1 / F.col("_v"))).alias("_weight"), F.max("_far").alias("_far"))
+        F.sum(F.when(F.col("_keep"), F.col("_m") / _positive("_v"))).alias("_top"),
+        F.sum(F.when(F.col("_keep"), 1 / _positive("_v"))).alias("_weight"), F.max("_far").alias("_far"))
     raw = raw.select("sample", F.when(F.col("_far") < 1e-6, F.lit(1.0)).otherwise(
-        F.coalesce(F.pow(F.lit(2.0), F.col("_top") / F.col("_weight")), F.lit(1.0))).alias("_f"))
+        F.coalesce(F.pow(F.lit(2.0), F.col("_top") / _positive("_weight")), F.lit(1.0))).alias("_f"))
     centre = raw.agg(F.exp(F.avg(F.log("_f"))).alias("_g"))
     return attach(raw, centre).select("sample", (F.col("_f") / F.col("_g")).alias("factor"))

@@ -158,16 +158,20 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, extra: Sequence
     return running(base, keys, [value], sums={"_before": "_c"}, totals={"_n": "_c"})
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
+def average_rank(
+    df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", largest: int | None = None
+) -> DataFrame:
     """Average-tie rank of ``value`` within ``keys`` (null values get no row).
 
     Groups that fit a task are ranked by one window. Otherwise ties are collapsed before
     the ordering, so a value shared by a third of all rows is one row there; the join back
-    is split by adaptive execution when it is skewed.
+    is split by adaptive execution when it is skewed. ``largest``: an upper bound of the
+    group size, when the caller knows one.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
-    if split_goal(rows, keys) is None:
+    small = split_goal(rows, keys) is None if largest is None else largest <= split_rows(df.sparkSession)
+    if small:
         w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(value)
         tied = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
         return rows.withColumn(out, F.rank().over(w) + (tied - 1) / F.lit(2.0))
@@ -182,13 +186,17 @@ def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
     return numbered.withColumn(out, (F.col(out) + 1).cast("long")).drop("_unit")
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], largest: int | None = None
+) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per key, one column per name.
 
     The built-in aggregate holds the distinct values of a group in memory, so it serves
-    small groups only; larger ones are picked from the ordered value counts.
+    small groups only; larger ones are picked from the ordered value counts. ``largest``
+    is the size of the largest group when the caller knows it.
     """
-    if group_sizes(df, keys)[0] <= min(_IN_MEMORY_ROWS, split_rows(df.sparkSession)):
+    largest = group_sizes(df, keys)[0] if largest is None else largest
+    if largest <= min(_IN_MEMORY_ROWS, split_rows(df.sparkSession)):
         all_at_once = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]))
         return df.groupBy(*keys).agg(all_at_once.alias("_q")).select(
             *keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
@@ -209,8 +217,10 @@ def pick_quantiles(counted: DataFrame, keys: Sequence[str], value: str, probs: d
     return counted.groupBy(*keys).agg(*picks).select(*keys, *finals)
 
 
-def median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    return quantiles(df, keys, value, {out: 0.5})
+def median(
+    df: DataFrame, keys: Sequence[str], value: str, out: str = "median", largest: int | None = None
+) -> DataFrame:
+    return quantiles(df, keys, value, {out: 0.5}, largest)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from essenta.functions import probability as P
-from essenta.operators.order import attach, average_rank, median, running, value_counts
+from essenta.operators.order import attach, average_rank, group_sizes, median, running, value_counts
 
 _RADIX_BITS = 4
 
@@ -37,20 +37,27 @@ def spearman(
     keys: Sequence[str] = ("response",),
     within: Sequence[str] = (),
     drop_constant: bool = False,
+    aligned: bool = False,
 ) -> DataFrame:
     """Spearman correlation of every feature with every response: ``(*keys, gene, rho, n)``.
 
     ``within``: the part of ``keys`` that decides the sample set. With none, all responses
     cover the same samples and features are ranked once; with all keys, they are ranked
     inside each response's samples. A constant feature has a null ``rho``, or no row with
-    ``drop_constant``. This is the true coefficient in [-1, 1].
+    ``drop_constant``. ``aligned``: both tables already hold the same samples, which saves
+    two joins. This is the true coefficient in [-1, 1].
     """
     keys, within = list(keys), list(within)
     y = responses.where(F.col("value").isNotNull()).select(*keys, "sample", F.col("value").alias("y"))
-    y = y.join(expression.select("sample").distinct(), "sample", "left_semi")
-    x = expression.select("sample", "gene", "value").join(y.select(*within, "sample").distinct(), "sample")
-    ranked_x = average_rank(x, [*within, "gene"], "value", "rx").drop("value")
-    ranked_y = average_rank(y, keys, "y", "ry").drop("y")
+    x = expression.select("sample", "gene", "value")
+    if not aligned:
+        y = y.join(expression.select("sample").distinct(), "sample", "left_semi")
+    if within or not aligned:
+        x = x.join(y.select(*within, "sample").distinct(), "sample")
+    # a feature has one value per sample, so the responses bound the size of every group
+    largest = group_sizes(y, keys)[0]
+    ranked_x = average_rank(x, [*within, "gene"], "value", "rx", largest).drop("value")
+    ranked_y = average_rank(y, keys, "y", "ry", largest).drop("y")
     out = ranked_x.join(ranked_y, [*within, "sample"]).groupBy(*keys, "gene").agg(
         corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
     return out.where(F.col("rho").isNotNull()) if drop_constant else out
@@ -61,7 +68,8 @@ def correlation_test(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
     keys = list(keys)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ranked = average_rank(average_rank(rows, keys, "_x", "_rx"), keys, "_y", "_ry")
+    largest = group_sizes(rows, keys)[0]
+    ranked = average_rank(average_rank(rows, keys, "_x", "_rx", largest), keys, "_y", "_ry", largest)
     out = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         corr("_x", "_y").alias("pearson"), corr("_rx", "_ry").alias("spearman"))
@@ -251,7 +259,7 @@ def levene(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFr
         F.sum(n * m * m).alias("_ss"), F.sum(n * F.col("_v")).alias("_within"))
     between = F.col("_ss") - F.col("_s") * F.col("_s") / F.col("_total")
     d1, d2 = F.col("_k") - 1, F.col("_total") - F.col("_k")
-    out = sums.withColumn("f", (between / d1) / F.nullif(F.col("_within") / d2, F.lit(0.0)))
+    out = sums.withColumn("f", between * d2 / F.nullif(d1 * F.col("_within"), F.lit(0.0)))
     return out.select(*keys, "f", P.f_sf("f", d1, d2).alias("p"))
 
 
@@ -272,17 +280,18 @@ def t_test(
 
     out = rows.groupBy(*keys).agg(*side(first, "1"), *side(second, "2"))
     if pooled is None:
-        spread = levene(rows, keys, group, value).select(*keys, F.col("p").alias("levene_p"))
-        out = attach(out, spread, keys, "left")
+        equality = levene(rows, keys, group, value).select(*keys, F.col("p").alias("levene_p"))
+        out = attach(out, equality, keys, "left")
         equal = F.coalesce(F.col("levene_p") > 0.05, F.lit(False))
     else:
         out, equal = out.withColumn("levene_p", F.lit(None).cast("double")), F.lit(pooled)
     n1, n2, v1, v2 = (F.col(c) for c in ("n1", "n2", "_v1", "_v2"))
     dof = n1 + n2 - 2
     se1, se2 = v1 / n1, v2 / n2
-    common = ((n1 - 1) * v1 + (n2 - 1) * v2) / dof
-    se = F.sqrt(F.when(equal, common * (1 / n1 + 1 / n2)).otherwise(se1 + se2))
-    welch = (se1 + se2) * (se1 + se2) / (se1 * se1 / (n1 - 1) + se2 * se2 / (n2 - 1))
+    common = ((n1 - 1) * v1 + (n2 - 1) * v2) / F.nullif(dof, F.lit(0.0))
+    se = F.sqrt(F.when(equal, common * (n1 + n2) / F.nullif(n1 * n2, F.lit(0.0))).otherwise(se1 + se2))
+    spread = se1 * se1 / F.nullif(n1 - 1, F.lit(0.0)) + se2 * se2 / F.nullif(n2 - 1, F.lit(0.0))
+    welch = (se1 + se2) * (se1 + se2) / F.nullif(spread, F.lit(0.0))
     enough = (n1 >= 2) & (n2 >= 2)
     out = out.withColumns({
         "_t": F.when(enough, (F.col("_m1") - F.col("_m2")) / F.nullif(se, F.lit(0.0))),
@@ -339,8 +348,8 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     out = out.withColumns({"dof": dof, "chi2": F.when(dof == 1, yates).otherwise(F.col("_q") - F.col("n"))})
     n, r, k = F.col("n"), F.col("rows"), F.col("cols")
     phi2 = F.col("chi2") / n
-    corrected = F.greatest(F.lit(0.0), phi2 - (k - 1) * (r - 1) / (n - 1))
-    r2, k2 = r - (r - 1) * (r - 1) / (n - 1), k - (k - 1) * (k - 1) / (n - 1)
+    corrected = F.greatest(F.lit(0.0), phi2 - (k - 1) * (r - 1) / F.nullif(n - 1, F.lit(0.0)))
+    r2, k2 = r - (r - 1) * (r - 1) / F.nullif(n - 1, F.lit(0.0)), k - (k - 1) * (k - 1) / F.nullif(n - 1, F.lit(0.0))
     return out.select(
         n.cast("long").alias("n"), dof.cast("long").alias("dof"), "chi2", P.chi2_sf("chi2", "dof").alias("p"),
         F.sqrt(phi2 / F.nullif(F.least(r, k) - 1, F.lit(0.0))).alias("v"),

@@ -10,6 +10,7 @@ from essenta.operators.filters import median_split
 from essenta.operators.ranking import z_score
 from essenta.operators.scores import mean_per_line, score_cohort
 from essenta.operators.statistics import correlation_test, mann_whitney
+from essenta.session import cut
 
 
 def sample_table(samples: DataFrame, **patterns) -> DataFrame:
@@ -24,13 +25,15 @@ def line_scores(
     """Control samples scored, averaged per cell line over plates, split strictly above the median."""
     chosen = samples.where(F.col("treatment") == control)
     rows = expression.join(chosen.select("sample"), "sample", "left_semi")
-    per_line = mean_per_line(score_cohort(rows, influence, standardise=standardise), chosen)
+    # one row per line; the median and its size check read it
+    per_line = cut(mean_per_line(score_cohort(rows, influence, standardise=standardise), chosen))
     return median_split(per_line, "scaled_score", strict=True, out="group")
 
 
 def score_against_response(lines: DataFrame, ic50: DataFrame) -> DataFrame:
     """Correlation of score and response, and the U test of high against low lines, one row."""
     both = lines.join(ic50.select("cell_line", F.col("value").alias("ic50")), "cell_line").withColumn("_k", F.lit(1))
+    both = cut(both)
     related = correlation_test(both, ["_k"], "scaled_score", "ic50")
     tested = mann_whitney(both, ["_k"], "group", "ic50", "high", "low")
     return related.join(tested, "_k").drop("_k")

@@ -9,6 +9,7 @@ from essenta.operators.aggregates import name_lists
 from essenta.operators.joins import explode_targets
 from essenta.operators.statistics import spearman
 from essenta.operators.topk import feature_set, top_features
+from essenta.session import cut
 
 
 def feature_lists(
@@ -28,11 +29,12 @@ def feature_lists(
     pairs = pairs.join(enough, "drug", "left_semi")
     targets = pairs.select(F.col("target").alias("gene")).distinct()
     scores = dependency.join(targets, "gene", "left_semi").withColumnRenamed("gene", "target")
-    by_target = top_features(
-        spearman(expression, scores, ["target"], ["target"], drop_constant=True), ["target"], k)
+    # k rows per target or drug; the list and its size check read them
+    by_target = cut(top_features(
+        spearman(expression, scores, ["target"], ["target"], drop_constant=True), ["target"], k))
     responses = ic50.join(pairs.select("drug").distinct(), "drug", "left_semi")
-    by_drug = top_features(
-        spearman(expression, responses, ["drug"], ["drug"], drop_constant=True), ["drug"], k)
+    by_drug = cut(top_features(
+        spearman(expression, responses, ["drug"], ["drug"], drop_constant=True), ["drug"], k))
     found = pairs.join(by_target.select("target", "gene"), "target").select("drug", "gene").unionByName(
         by_drug.select("drug", "gene"))
     own = pairs.select("drug", F.col("target").alias("gene"))

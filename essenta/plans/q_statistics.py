@@ -27,7 +27,7 @@ def order_status(t):
 
 @query("h1_spearman", with_("expr resp", RHO) + f"SELECT response, gene, {R('rho')} AS rho FROM rho")
 def _(t):
-    return H.spearman(t.expression(), t.responses()).select("response", "gene", r("rho").alias("rho"))
+    return H.spearman(t.expression(), t.responses(), aligned=True).select("response", "gene", r("rho").alias("rho"))
 
 
 @query("h2_spearman_gaps", with_("expr ic50", GAPS) + f"SELECT drug, gene, {R('rho')} AS rho, n FROM rho")
@@ -341,6 +341,6 @@ def _(t):
 @query("k32_feature_report", with_("expr resp", RHO) + f"""
 SELECT response, CAST(10 AS BIGINT) AS n_features, {R('rho')} AS cutoff FROM (SELECT *, row_number() OVER (PARTITION BY response ORDER BY abs(rho) DESC, gene) AS k FROM rho) WHERE k = 10""")
 def _(t):
-    top = top_features(H.spearman(t.expression(), t.responses()), ["response"], 10)
+    top = top_features(H.spearman(t.expression(), t.responses(), aligned=True), ["response"], 10)
     return top.groupBy("response").agg(F.count(F.lit(1)).alias("n_features"), F.max_by("rho", "rank").alias("c")).select(
         "response", "n_features", r("c").alias("cutoff"))

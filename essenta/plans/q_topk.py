@@ -18,7 +18,7 @@ rho AS (SELECT response, gene, corr(rx, ry) AS rho FROM xr JOIN yr USING (sample
 SELECT response, gene, {R('rho')} AS rho, rank FROM (SELECT *, row_number() OVER (PARTITION BY response ORDER BY abs(rho) DESC NULLS LAST, gene) AS rank FROM rho)
 WHERE rank <= 10""")
 def _(t):
-    corr = spearman(t.expression(), t.responses())
+    corr = spearman(t.expression(), t.responses(), aligned=True)
     return K.top_features(corr, ["response"], 10).select("response", "gene", r("rho").alias("rho"), "rank")
 
 
@@ -26,7 +26,7 @@ def _(t):
 SELECT DISTINCT gene FROM (SELECT *, row_number() OVER (PARTITION BY response ORDER BY abs(rho) DESC NULLS LAST, gene) AS rank FROM rho)
 WHERE rank <= 10 UNION SELECT 'f0'""")
 def _(t):
-    top = K.top_features(spearman(t.expression(), t.responses()), ["response"], 10)
+    top = K.top_features(spearman(t.expression(), t.responses(), aligned=True), ["response"], 10)
     return K.feature_set(top, [], t.spark.sql("SELECT 'f0' AS gene"))
 
 

@@ -54,7 +54,9 @@ def train(
     predicted = S.predict(
         M.scaled(expression, ready["stats"], ready["split"].select("model_id", "sample")), out)
     truth = ready["centred"].join(ready["split"], ["model_id", "sample"])
-    out["metrics"] = S.model_metrics(predicted.join(
+    # one row per sample and response; two rankings and the error sums read it
+    both = cut(predicted.join(
         truth.select("model_id", "response", "sample", "value", "split"), ["model_id", "response", "sample"]))
+    out["metrics"] = S.model_metrics(both)
     out["trials"] = fits
     return out
