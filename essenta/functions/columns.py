@@ -119,7 +119,7 @@ def signed_log(z: Column) -> Column:
 
 
 def clip(value: Column, low: Column, high: Column) -> Column:
-    return F.least(F.greatest(value, low), high)
+    return F.when(value.isNotNull(), F.least(F.greatest(value, low), high))
 
 
 def is_mito(gene: Column) -> Column:

@@ -272,7 +272,8 @@ def loss_of(a: np.ndarray, beta: np.ndarray, weights: np.ndarray) -> float:
 def descend(a: np.ndarray, p: int, weights: np.ndarray, w: np.ndarray, rate: float, penalty: float, epochs: int):
     """Closed-form heads and one gradient step on ``W`` per epoch.
 
-    The heads that come back belong to ``W`` before its last step.
+    The heads that come back belong to ``W`` before its last step. A fit that leaves the
+    finite numbers returns None.
     """
     m = len(weights)
     s, c = a[:p, :p], a[:p, p:p + m]
@@ -280,7 +281,10 @@ def descend(a: np.ndarray, p: int, weights: np.ndarray, w: np.ndarray, rate: flo
     h = np.zeros((w.shape[1], m))
     for _ in range(epochs):
         sw = s @ w
-        h = np.linalg.pinv(w.T @ sw, hermitian=True) @ (w.T @ c)
+        try:
+            h = np.linalg.pinv(w.T @ sw, hermitian=True) @ (w.T @ c)
+        except np.linalg.LinAlgError:
+            return None
         train = loss_of(a, w @ h, weights)
         w = w - rate * (4.0 * (sw @ h - c) @ h.T + penalty * np.sign(w))
         if not np.isfinite(train) or not np.isfinite(w).all():
@@ -305,11 +309,8 @@ def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
         for t in row.trials:
             rng = np.random.default_rng(_seed_of(row.seed, t["trial"], row.fold + 1))
             start = rng.standard_normal((p, int(t["latent_dim"])))
-            try:
-                with np.errstate(all="ignore"):
-                    done = descend(a, p, weights, start, t["learning_rate"], t["lambda"], int(row.epochs))
-            except np.linalg.LinAlgError:
-                done = None
+            with np.errstate(all="ignore"):
+                done = descend(a, p, weights, start, t["learning_rate"], t["lambda"], int(row.epochs))
             base = (row.model_id, int(row.fold), int(t["trial"]), int(t["latent_dim"]), t["learning_rate"], t["lambda"])
             if done is None:
                 out.append((*base, "diverged", None, None, None, None))

@@ -195,11 +195,11 @@ def _u_from_counts(base: DataFrame, keys: list[str], value: str, alternative: st
     sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("_t") / F.nullif(n * (n - 1), F.lit(0.0))))
     out = out.withColumn("_tested", tested).withColumn(
         "z", (F.col("_tested") - n1 * n2 / 2 - 0.5) / F.nullif(sd, F.lit(0.0)))
-    small = (F.least("n1", "n2") <= 8) & (F.col("_t") == 0)
+    small = F.least("n1", "n2").between(1, 8) & (F.col("_t") == 0)
     exact = P.u_exact_sf(F.when(small, F.col("_tested")), n1, n2)
     p = F.when(small, exact).otherwise(P.normal_sf("z"))
     return out.select(
-        *keys, "n1", "n2", "u", "z", F.least(F.lit(1.0), sides * p).alias("p"),
+        *keys, "n1", "n2", "u", "z", F.when(p.isNotNull(), F.least(F.lit(1.0), sides * p)).alias("p"),
         (1 - 2 * F.col("u") / F.nullif(n1 * n2, F.lit(0.0))).alias("effect"))
 
 

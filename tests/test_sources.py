@@ -114,6 +114,12 @@ def test_enrichment_and_overlap(spark):
     assert {r.region: r.n for r in K.overlap_regions(sets, "item", "grp", ["A", "B", "C"]).collect()} == {"A": 1, "A&B&C": 1, "C": 1}
 
 
+def test_clip_keeps_nulls(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (9.0,), (None,)], "v double")
+    got = {r.v: r.clipped for r in B.clip_quantiles(df, "v", 0.0, 0.5).collect()}
+    assert got == {1.0: 1.0, 2.0: 2.0, 9.0: 2.0, None: None}
+
+
 def test_align_and_targets(spark):
     a = spark.createDataFrame([("s1",), ("s2",), ("s2",)], "sample string")
     b = spark.createDataFrame([("s2",), ("s3",)], "sample string")
