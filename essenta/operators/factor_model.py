@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from essenta.session import bounded_broadcast
 MOST_FEATURES = 4096
 _BLOCK_ROWS = 100_000
 _FLUSH_DOUBLES = 1 << 24
+_PARTIALS = 1000
 
 # The search space.
 LATENT_LOW, LATENT_HIGH, LATENT_STEP = 10, 70, 5
@@ -114,9 +116,11 @@ def _block_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[tuple, np.ndarray] = {}
 
     def flush() -> pd.DataFrame:
-        out = [(g, f, i, row) for (g, f), a in held.items() for i, row in enumerate(a)]
+        out = [(g, f, slot, i, row) for (g, f), a in held.items() for i, row in enumerate(a)]
         held.clear()
-        return pd.DataFrame(out, columns=["_group", "fold", "i", "row"])
+        return pd.DataFrame(out, columns=["_group", "fold", "slot", "i", "row"])
+
+    slot = TaskContext.get().partitionId() // _PARTIALS
 
     for batch in batches:
         for key, part in batch.groupby(["_group", "fold"], sort=False):
@@ -142,9 +146,15 @@ def vector_moments(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     group = F.to_json(F.struct(*keys))
     parts = vectors.select(group.alias("_group"), "fold", "v").mapInPandas(
-        _block_moments, "_group string, fold int, i int, row array<double>")
-    rows = parts.groupBy("_group", "fold", "i").agg(F.collect_list("row").alias("_rows"))
-    rows = rows.withColumn("row", sum_arrays(F.col("_rows"), F.size(F.get("_rows", F.lit(0)))))
+        _block_moments, "_group string, fold int, slot int, i int, row array<double>")
+    rows = parts
+    steps = [["_group", "fold", "i"]]
+    if int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) > _PARTIALS:
+        # with very many tasks the partials are added in two steps, a bounded list each
+        steps.insert(0, ["_group", "fold", "slot", "i"])
+    for by in steps:
+        rows = rows.groupBy(*by).agg(F.collect_list("row").alias("_rows"))
+        rows = rows.select(*by, sum_arrays(F.col("_rows"), F.size(F.get("_rows", F.lit(0)))).alias("row"))
     packed = rows.groupBy("_group", "fold").agg(
         F.array_sort(F.collect_list(F.struct("i", "row"))).alias("_m"))
     schema = ", ".join(f"{k} {vectors.schema[k].dataType.simpleString()}" for k in keys)
@@ -163,6 +173,9 @@ def pack_samples(
     very many samples spreads over tasks and a small one stays in one.
     """
     size = features.groupBy("model_id").agg(F.count(F.lit(1)).alias("_p"))
+    widest = size.agg(F.max("_p")).first()[0] or 0
+    if widest > MOST_FEATURES:  # a sample is packed into one row, so its width is bounded
+        raise ValueError(f"a model has {widest} features, more than {MOST_FEATURES}")
     counts = split.groupBy("model_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(_BLOCK_ROWS)).alias("_blocks"))
     placed = split.join(counts, "model_id").select(
         "model_id", "sample", "fold", F.pmod(F.xxhash64("sample"), F.col("_blocks")).alias("_block"))
@@ -172,7 +185,7 @@ def pack_samples(
     items = both.groupBy("model_id", "_block", "sample", "fold").agg(
         F.array_sort(F.collect_list(F.struct("_part", "_name", "value"))).alias("_v"),
         F.count_if(F.col("_part") == 0).alias("_seen"))
-    checked = items.join(F.broadcast(size), "model_id").where(
+    checked = items.join(bounded_broadcast(size), "model_id").where(
         F.when(F.col("_seen") == F.col("_p"), True).otherwise(F.raise_error(F.concat(
             F.lit("sample "), "sample", F.lit(" lacks features of model "), "model_id")).cast("boolean")))
     return checked.select("model_id", "sample", "fold", F.concat(
@@ -185,10 +198,7 @@ def moments(packed: DataFrame, features: DataFrame, responses: DataFrame) -> Dat
     names = responses.select("model_id", "response").distinct().groupBy("model_id").agg(
         F.array_sort(F.collect_list("response")).alias("responses"))
     labels = genes.join(names, "model_id")
-    # the widest model bounds what one task holds
-    checked = labels.where(F.when(F.size("genes") <= MOST_FEATURES, True).otherwise(
-        F.raise_error(F.concat(F.lit("too many features in model "), "model_id")).cast("boolean")))
-    return vector_moments(packed, ["model_id"]).join(checked, "model_id")
+    return vector_moments(packed, ["model_id"]).join(labels, "model_id")
 
 
 def long_moments(table: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def random_walk(
     while done < max_iter:
         for _ in range(min(check_every, max_iter - done) - 1):
             p, done = collect(step(p)), done + 1
-        p = p if done == 0 else cut(p)
+        # both readers of ``p`` share its last shuffle
         marked = step(p).withColumn("_old", F.lit(0.0)).unionByName(
             p.select("seed_set", "node", F.lit(0.0).alias("p"), F.col("p").alias("_old")))
         both = cut(marked.groupBy("seed_set", "node").agg(F.sum("p").alias("p"), F.sum("_old").alias("_old")))

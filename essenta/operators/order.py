@@ -99,6 +99,7 @@ def running(
     sums: dict[str, str] | None = None,
     mins: dict[str, str] | None = None,
     totals: dict[str, str] | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Running values in ascending ``order`` within ``keys``.
 
@@ -106,9 +107,11 @@ def running(
     (``order`` must be unique within a group).
     ``mins``: output name -> column, the minimum up to and including this row.
     ``totals``: output name -> column, the sum over the whole group.
+    ``largest``: an upper bound of the group size, when the caller knows one.
     """
     keys, sums, mins, totals = list(keys), sums or {}, mins or {}, totals or {}
-    goal = split_goal(df, keys)
+    known_small = largest is not None and largest <= split_rows(df.sparkSession)
+    goal = None if known_small else split_goal(df, keys)
     if goal is None:
         return _windowed(df, keys or [F.lit(1)], order, sums, mins, totals)
 
@@ -150,12 +153,11 @@ def _windowed(df, part, order, sums, mins, totals) -> DataFrame:
     })
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = ()) -> DataFrame:
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, largest: int | None = None) -> DataFrame:
     """One row per (keys, value) with ``_c``, ``_before`` (rows below) and ``_n`` (group rows)."""
     keys = list(keys)
-    base = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_c"), *extra)
-    return running(base, keys, [value], sums={"_before": "_c"}, totals={"_n": "_c"})
+    base = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    return running(base, keys, [value], sums={"_before": "_c"}, totals={"_n": "_c"}, largest=largest)
 
 
 def average_rank(
@@ -170,12 +172,12 @@ def average_rank(
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
-    small = split_goal(rows, keys) is None if largest is None else largest <= split_rows(df.sparkSession)
-    if small:
+    known_small = largest is not None and largest <= split_rows(df.sparkSession)
+    if known_small or split_goal(rows, keys) is None:
         w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(value)
         tied = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
         return rows.withColumn(out, F.rank().over(w) + (tied - 1) / F.lit(2.0))
-    ranks = value_counts(rows, keys, value).select(
+    ranks = value_counts(rows, keys, value, largest).select(
         *keys, value, (F.col("_before") + (F.col("_c") + 1) / F.lit(2.0)).alias(out))
     return rows.join(ranks, [*keys, value])
 
@@ -200,7 +202,7 @@ def quantiles(
         all_at_once = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]))
         return df.groupBy(*keys).agg(all_at_once.alias("_q")).select(
             *keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
-    return pick_quantiles(value_counts(df, keys, value), keys, value, probs)
+    return pick_quantiles(value_counts(df, keys, value, largest), keys, value, probs)
 
 
 def pick_quantiles(counted: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -49,13 +49,13 @@ def spearman(
     """
     keys, within = list(keys), list(within)
     y = responses.where(F.col("value").isNotNull()).select(*keys, "sample", F.col("value").alias("y"))
+    # a feature has one value per sample, so the responses bound the size of every group
+    largest = group_sizes(y, keys)[0]
     x = expression.select("sample", "gene", "value")
     if not aligned:
         y = y.join(expression.select("sample").distinct(), "sample", "left_semi")
     if within or not aligned:
         x = x.join(y.select(*within, "sample").distinct(), "sample")
-    # a feature has one value per sample, so the responses bound the size of every group
-    largest = group_sizes(y, keys)[0]
     ranked_x = average_rank(x, [*within, "gene"], "value", "rx", largest).drop("value")
     ranked_y = average_rank(y, keys, "y", "ry", largest).drop("y")
     out = ranked_x.join(ranked_y, [*within, "sample"]).groupBy(*keys, "gene").agg(
@@ -90,11 +90,12 @@ def ordered_pairs(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFra
     rows x digits, and each order is a distributed running sum.
     """
     keys = list(keys)
+    largest = group_sizes(df, keys)[0]
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
         *keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
     levels = running(
         rows.select(*keys, "_y").distinct().withColumn("_u", F.lit(1)), keys, ["_y"],
-        sums={"_i": "_u"}, totals={"_m": "_u"}).select(*keys, "_y", "_i", "_m")
+        sums={"_i": "_u"}, totals={"_m": "_u"}, largest=largest).select(*keys, "_y", "_i", "_m")
     digits = F.greatest(F.lit(1), F.ceil(F.length(F.bin(F.col("_m") - 1)) / F.lit(_RADIX_BITS))).cast("int")
     base = 1 << _RADIX_BITS
     placed = rows.join(levels, [*keys, "_y"]).withColumn(
@@ -105,7 +106,7 @@ def ordered_pairs(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFra
     group = [*keys, "_place", "_prefix"]
     wide = placed.groupBy(*group, "_x").agg(
         *[F.sum(F.when(F.col("_digit") == d, F.col("_c")).otherwise(0)).alias(n) for d, n in enumerate(names)])
-    done = running(wide, group, ["_x"], sums={f"_b{n}": n for n in names})
+    done = running(wide, group, ["_x"], sums={f"_b{n}": n for n in names}, largest=largest)
     lower = higher = F.lit(0.0)
     for d, n in enumerate(names):
         here = F.col(n).cast("double")
@@ -238,10 +239,11 @@ def adjacent_quartiles(df: DataFrame, quartile: str, value: str, alternative: st
 
 def adjust_bh(df: DataFrame, keys: Sequence[str], p: str = "p", out: str = "p_adj") -> DataFrame:
     """Benjamini-Hochberg: ``min(p * n / rank)`` running down from the largest p."""
-    counted = value_counts(df, keys, p)
+    largest = group_sizes(df, keys)[0]
+    counted = value_counts(df, keys, p, largest)
     raw = F.col(p) * F.col("_n") / (F.col("_before") + F.col("_c"))
     steps = counted.withColumns({"_raw": raw, "_down": -F.col(p)})
-    lowest = running(steps, keys, ["_down"], mins={out: "_raw"})
+    lowest = running(steps, keys, ["_down"], mins={out: "_raw"}, largest=largest)
     return df.join(lowest.select(*keys, p, F.least(F.col(out), F.lit(1.0)).alias(out)), [*keys, p], "left")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from essenta.operators.order import top_rows
 from essenta.operators.ranking import first_row
+from essenta.session import bounded_broadcast
 
 
 def top_features(corr: DataFrame, keys: Sequence[str], k: int = 100) -> DataFrame:
@@ -33,12 +34,17 @@ def extremes(df: DataFrame, keys: Sequence[str], value: str, n: int, name: str =
 
 
 def top_with_ties(df: DataFrame, keys: Sequence[str], value: str, n: int) -> DataFrame:
-    """The n largest values per key, every row that ties with the last one kept.
+    """The n largest values per key, every row that ties with the last one kept, with its rank.
 
-    Spark limits each map task by rank before the shuffle.
+    Ranks come from the n largest distinct values and their counts, so a value that a
+    third of the rows share is never sorted in one task; the rows join back on the value.
     """
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(F.desc(value))
-    return df.withColumn("rank", F.rank().over(w).cast("long")).where(F.col("rank") <= n)
+    keys = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    best = top_rows(counts, keys, [F.desc(value)], n, "_k")
+    above = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = best.select(*keys, value, (F.coalesce(F.sum("_c").over(above), F.lit(0)) + 1).alias("rank"))
+    return df.join(bounded_broadcast(ranks.where(F.col("rank") <= n)), [*keys, value])
 
 
 def arg_min(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

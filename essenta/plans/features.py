@@ -12,6 +12,13 @@ from essenta.operators.topk import feature_set, top_features
 from essenta.session import cut
 
 
+def same_samples(df: DataFrame, key: str) -> bool:
+    """True when every key has a value for the same samples."""
+    per = df.where(F.col("value").isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    least, most = per.agg(F.min("_n"), F.max("_n")).first()
+    return least == most and df.select("sample").distinct().count() == most
+
+
 def feature_lists(
     expression: DataFrame, dependency: DataFrame, drug_target: DataFrame, ic50: DataFrame,
     k: int = 100, least: int = 20,
@@ -29,9 +36,11 @@ def feature_lists(
     pairs = pairs.join(enough, "drug", "left_semi")
     targets = pairs.select(F.col("target").alias("gene")).distinct()
     scores = dependency.join(targets, "gene", "left_semi").withColumnRenamed("gene", "target")
+    # without gaps in the dependency table, all targets share one ranking of the features
+    within = [] if same_samples(scores, "target") else ["target"]
     # k rows per target or drug; the list and its size check read them
     by_target = cut(top_features(
-        spearman(expression, scores, ["target"], ["target"], drop_constant=True), ["target"], k))
+        spearman(expression, scores, ["target"], within, drop_constant=True), ["target"], k))
     responses = ic50.join(pairs.select("drug").distinct(), "drug", "left_semi")
     by_drug = cut(top_features(
         spearman(expression, responses, ["drug"], ["drug"], drop_constant=True), ["drug"], k))

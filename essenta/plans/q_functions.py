@@ -20,7 +20,7 @@ def _(t):
 
 @query("g2_numeric", f"""
 SELECT l_orderkey, l_linenumber, l_partkey, {R('log10(l_extendedprice)')} AS l10, {R('ln(1 + l_quantity)')} AS l1p,
-  {R('log2(l_quantity)')} AS l2, sign(l_discount - 0.05) AS sg, {R('abs(l_discount - 0.05)')} AS ab, {R('sqrt(l_quantity)')} AS sq,
+  {R('log2(l_quantity)')} AS l2, CAST(sign(l_discount - 0.05) AS INTEGER) AS sg, {R('abs(l_discount - 0.05)')} AS ab, {R('sqrt(l_quantity)')} AS sq,
   {R('power(l_tax + 1, 3)')} AS pw, round(l_extendedprice / 7, 3) AS rd, CAST(floor(l_extendedprice) AS BIGINT) AS fl,
   CAST(ceil(l_extendedprice) AS BIGINT) AS ce FROM lineitem""")
 def _(t):
