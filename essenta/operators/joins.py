@@ -37,6 +37,25 @@ def explode_targets(df: DataFrame, drug: str = "drug", targets: str = "targets")
     ).where(F.col("target") != "").distinct()
 
 
+def merge_drug_targets(tables: Sequence[DataFrame], first_only: bool = False) -> DataFrame:
+    """Stack ``(drug, targets)`` tables with upper-case drug names, one row per drug and target.
+
+    By default the lists of all tables are united; ``first_only`` keeps the list of the
+    first table that knows a drug.
+    """
+    parts = []
+    for place, table in enumerate(tables):
+        rows = explode_targets(table.withColumn("drug", F.upper("drug")))
+        parts.append(rows.withColumn("_place", F.lit(place)))
+    out = parts[0]
+    for other in parts[1:]:
+        out = out.unionByName(other)
+    if first_only:
+        first = out.groupBy("drug").agg(F.min("_place").alias("_place"))
+        out = out.join(first, ["drug", "_place"], "left_semi")
+    return out.select("drug", "target").distinct()
+
+
 def drugs_of_target(drug_target: DataFrame, ic50: DataFrame, target: str | None = None) -> DataFrame:
     """Tested drugs per target."""
     rows = drug_target if target is None else drug_target.where(F.col("target") == target)

@@ -26,6 +26,7 @@ from essenta.session import cut, split_rows
 
 _MAX_RANGES = 65536
 _OVERSAMPLE = 8
+_SAMPLED = 128
 _IN_MEMORY_ROWS = 100_000
 _STEPS = [1 << k for k in range(17, -1, -1)]
 
@@ -71,11 +72,14 @@ def with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], goal:
     keys = list(keys)
     every = df.withColumn("_ord", F.struct(*order))
     per = every.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    ranges = F.ceil(F.col("_rows") / goal)
     hot = per.where(F.col("_rows") > goal).select(
-        *keys, F.ceil(F.col("_rows") / goal).alias("_ranges"))
+        *keys, ranges.alias("_ranges"), F.least(F.lit(1.0), ranges * _SAMPLED / F.col("_rows")).alias("_share"))
     sample = (
         attach(every.select(*keys, "_ord"), F.broadcast(hot), keys)
         .withColumn("_hash", F.xxhash64("_ord"))
+        # only small hashes can be the smallest of a class, the rest need not be sorted
+        .where(F.shiftrightunsigned("_hash", 1) <= F.col("_share") * float(1 << 63))
         .groupBy(*keys, F.pmod("_hash", F.col("_ranges") * _OVERSAMPLE).alias("_class"))
         .agg(F.min(F.struct("_hash", "_ord")).alias("_pick"))
     )

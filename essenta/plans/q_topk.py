@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from essenta.operators import topk as K
 from essenta.operators.aggregates import group_mean
+from essenta.operators.joins import merge_drug_targets
 from essenta.operators.order import median, top_rows
 from essenta.operators.statistics import spearman
 from essenta.plans.catalog import R, query, r, with_
@@ -107,6 +108,28 @@ def _(t):
     return a.unionByName(b)
 
 
+_MERGE = """
+WITH a AS (SELECT upper(p_brand) AS drug, p_type AS target, 0 AS place FROM part WHERE p_size < 5),
+b AS (SELECT upper(p_brand), p_name, 1 FROM part WHERE p_size > 45), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+"""
+
+
+def _drug_tables(t):
+    for where, name in (("p_size < 5", "p_type"), ("p_size > 45", "p_name")):
+        rows = t.part.where(where).groupBy(F.col("p_brand").alias("drug")).agg(F.array_join(F.collect_set(name), ", ").alias("targets"))
+        yield rows
+
+
+@query("f11_merge_drug_targets", _MERGE + "SELECT DISTINCT drug, target FROM u")
+def _(t):
+    return merge_drug_targets(list(_drug_tables(t)))
+
+
+@query("f11_first_drug_targets", _MERGE + "SELECT DISTINCT drug, target FROM u WHERE (drug, place) IN (SELECT (drug, min(place)) FROM u GROUP BY drug)")
+def _(t):
+    return merge_drug_targets(list(_drug_tables(t)), first_only=True)
+
+
 @query("f12_in_all", """
 SELECT o_custkey AS sample FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = (SELECT count(DISTINCT o_orderpriority) FROM orders)""")
 def _(t):
