@@ -6,9 +6,9 @@ from essenta.operators import aggregates as D
 from essenta.plans.catalog import R, query, r, with_
 
 
-@query("d1_group_mean", with_("lin") + f"SELECT lineage, {R('avg(c_acctbal)', 4)} AS mean FROM lin GROUP BY 1")
+@query("d1_group_mean", with_("lin") + f"SELECT lineage, {R('avg(c_acctbal)')} AS mean FROM lin GROUP BY 1")
 def _(t):
-    return D.group_mean(t.lineage(), ["lineage"], "c_acctbal").select("lineage", r("mean", 4).alias("mean"))
+    return D.group_mean(t.lineage(), ["lineage"], "c_acctbal").select("lineage", r("mean").alias("mean"))
 
 
 @query("d2_duplicate_features", f"""

@@ -94,8 +94,8 @@ def _(t):
 
 @query("c10_product", with_("sparse", """
 w AS (SELECT p_brand || '-' || p_type AS gene, CAST(sum(p_size) AS DOUBLE) / count(*) AS weight FROM part GROUP BY 1)""") + f"""
-SELECT sample, {R('sum(value * weight)', 4)} AS score FROM sparse JOIN w USING (gene) GROUP BY 1""")
+SELECT sample, {R('sum(value * weight)')} AS score FROM sparse JOIN w USING (gene) GROUP BY 1""")
 def _(t):
     w = t.part.groupBy(F.concat_ws("-", "p_brand", "p_type").alias("gene")).agg(
         (F.sum("p_size").cast("double") / F.count(F.lit(1))).alias("weight"))
-    return J.product(t.sparse_expression(), w, ["sample"]).select("sample", r("score", 4).alias("score"))
+    return J.product(t.sparse_expression(), w, ["sample"]).select("sample", r("score").alias("score"))

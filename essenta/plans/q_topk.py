@@ -70,20 +70,20 @@ def _(t):
 
 @query("f8_top_lineages", with_("lin", """
 m AS (SELECT c_mktsegment AS model, lineage, avg(c_acctbal) AS mean FROM lin GROUP BY 1, 2)""") + f"""
-SELECT model, lineage, {R('mean', 4)} AS mean, rank FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY mean DESC, lineage) AS rank FROM m) WHERE rank <= 3""")
+SELECT model, lineage, {R('mean')} AS mean, rank FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY mean DESC, lineage) AS rank FROM m) WHERE rank <= 3""")
 def _(t):
     means = group_mean(t.lineage().withColumnRenamed("c_mktsegment", "model"), ["model", "lineage"], "c_acctbal")
-    return top_rows(means, ["model"], [F.desc("mean"), F.col("lineage")], 3).select("model", "lineage", r("mean", 4).alias("mean"), "rank")
+    return top_rows(means, ["model"], [F.desc("mean"), F.col("lineage")], 3).select("model", "lineage", r("mean").alias("mean"), "rank")
 
 
 @query("f8_lineage_enrichment", with_("lin", """
 i AS (SELECT c_mktsegment AS model, lineage, sum(c_acctbal) AS s, count(*) AS n FROM lin GROUP BY 1, 2)""", """
 a AS (SELECT c_mktsegment AS model, sum(c_acctbal) AS s, count(*) AS n FROM lin GROUP BY 1)""", """
 e AS (SELECT lineage, model, i.s / i.n - (a.s - i.s) / (a.n - i.n) AS e FROM i JOIN a USING (model))""") + f"""
-SELECT lineage, model, {R('e', 4)} AS enrichment, rank FROM (SELECT *, row_number() OVER (PARTITION BY lineage ORDER BY e DESC, model) AS rank FROM e) WHERE rank <= 3""")
+SELECT lineage, model, {R('e')} AS enrichment, rank FROM (SELECT *, row_number() OVER (PARTITION BY lineage ORDER BY e DESC, model) AS rank FROM e) WHERE rank <= 3""")
 def _(t):
     rows = t.lineage().withColumnRenamed("c_mktsegment", "model")
-    return K.enrichment(rows, "model", "lineage", "c_acctbal").withColumn("enrichment", r("enrichment", 4))
+    return K.enrichment(rows, "model", "lineage", "c_acctbal").withColumn("enrichment", r("enrichment"))
 
 
 @query("f9_groups_by_median", f"""
