@@ -148,6 +148,15 @@ def _sharded(points: DataFrame, tree: dict, radius: int) -> DataFrame:
     return points.select("fp").mapInArrow(step, "shard long, fp long, stored boolean")
 
 
+def _subtree(rates: dict, radius: int, seed: int):
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        k = int(rows["shard"].iloc[0])
+        nodes = _grow(np.sort(rows["fp"].to_numpy().view(np.uint64)), min(rates[k][1], SAMPLE // 16), radius, seed)
+        return pd.DataFrame([(k, *x) for x in nodes], columns=["shard", "node", "vantage", "mu", "inner", "outer"])
+
+    return step
+
+
 def vantage_tree(points: DataFrame, n: int, radius: int, shard: int = SHARD) -> dict:
     """Global tree ``{node: (vantage, mu, inner, outer)}``; what is no node is a shard.
 
@@ -163,15 +172,11 @@ def vantage_tree(points: DataFrame, n: int, radius: int, shard: int = SHARD) ->
             break
         rates = {k: (min(1.0, SAMPLE / v), max(2, -(-2 * v // capacity))) for k, v in sizes.items()}
 
-        def grow(rows: pd.DataFrame, seed=seed, rates=rates, radius=radius) -> pd.DataFrame:
-            k = int(rows["shard"].iloc[0])
-            nodes = _grow(np.sort(rows["fp"].to_numpy().view(np.uint64)), min(rates[k][1], SAMPLE // 16), radius, seed)
-            return pd.DataFrame([(k, *x) for x in nodes], columns=["shard", "node", "vantage", "mu", "inner", "outer"])
-
         stored = _sharded(points, tree, radius).where("stored").select("shard", "fp")
-        rate = F.create_map(*[F.lit(x) for k, v in rates.items() for x in (k, v[0])])[F.col("shard")]
-        sample = stored.where(F.pmod(F.xxhash64("fp", F.lit(seed)), F.lit(1 << 30)) < rate * float(1 << 30))
-        grown = sample.groupBy("shard").applyInPandas(grow, "shard long, node long, vantage long, mu long, inner long, outer long").collect()
+        wanted = points.sparkSession.createDataFrame([(k, v[0]) for k, v in rates.items()], "shard long, rate double")
+        sample = stored.join(F.broadcast(wanted), "shard").where(  # MOST_SHARDS rows at most
+            F.pmod(F.xxhash64("fp", F.lit(seed)), F.lit(1 << 30)) < F.col("rate") * float(1 << 30))
+        grown = sample.groupBy("shard").applyInPandas(_subtree(rates, radius, seed), "shard long, node long, vantage long, mu long, inner long, outer long").collect()
         names: dict = {}
         for row in sorted(grown):  # names in a fixed order, so a retried task cannot change them
             for child in [row.node, row.inner, row.outer]:
