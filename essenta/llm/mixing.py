@@ -74,12 +74,12 @@ def _tilt(hist: DataFrame, targets: DataFrame, folder: Folder) -> DataFrame:
         rate = F.exp(F.least(F.col("lam") * x, F.log(F.lit(MOST))))
         sums = hist.join(state.where("not settled"), "sid").groupBy("sid").agg(
             F.sum(F.col("n") * x * rate).alias("words"),
-            F.sum(F.when(rate < MOST, F.col("n") * x * x * rate).otherwise(0.0)).alias("slope"))
+            F.sum(F.when(rate < MOST * (1 - 1e-12), F.col("n") * x * x * rate).otherwise(0.0)).alias("slope"))
         gap = F.col("words") - F.col("goal")
         low = F.when(gap < 0, F.col("lam")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
-        # Newton on log(words) where the sum is too small, on the sum itself where it is too large: both stay on their side
-        newton = F.col("lam") - F.when(gap < 0, F.log(F.col("words") / F.col("goal")) * F.col("words")).otherwise(gap) / F.col("slope")
+        # on the logarithm of the words: nearly linear in lambda, so a handful of steps is enough from anywhere
+        newton = F.col("lam") - F.log(F.col("words") / F.col("goal")) * F.col("words") / F.col("slope")
         inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
         step = F.when(inside, newton).otherwise((low + high) / 2)
         settled = (F.abs(gap) <= 1e-9 * F.col("goal")) | (high - low <= 1e-13 * (F.abs(low) + F.abs(high)))
