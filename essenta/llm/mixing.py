@@ -10,7 +10,8 @@ what the rates depend on, so a step costs the distinct sizes and not the documen
 Rates become whole copies by systematic rounding along the sizes of a source, largest
 first: the copies up to each size are the rounded sum of the rates up to it, so the words
 taken differ from the target by less than one long document. Of ``OFFSETS`` roundings of
-a source the one nearest to its target is used.
+a source the one nearest to its target is used, and one more copy is added or left out
+where that comes nearer still.
 
 Documents of equal size are interchangeable: who gets the odd copy is decided by a hash
 bucket and the id inside the bucket, with exact quotas per bucket, so no size or source is
@@ -107,7 +108,16 @@ def _copies_by_size(hist: DataFrame, targets: DataFrame, lam: DataFrame) -> Data
     best = upto.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1)))).groupBy("sid", "k").agg(
         F.abs(F.sum(whole(offset) * F.col("size")) - F.first("target")).alias("miss")
     ).groupBy("sid").agg(F.min(F.struct("miss", "k")).alias("b")).select("sid", F.col("b.k").alias("k"))
-    return upto.join(best, "sid").select("sid", "size", "n", whole(offset).cast("long").alias("copies"))
+    chosen = upto.join(best, "sid").select("sid", "size", "n", "target", whole(offset).cast("long").alias("copies"))
+    # last, one copy of one size more or less where that comes nearer
+    off = chosen.groupBy("sid").agg((F.sum(F.col("copies") * F.col("size")) - F.first("target")).alias("off"))
+    copies = F.col("copies") + F.col("change")
+    mend = chosen.join(off, "sid").withColumn("change", F.explode(F.array(F.lit(-1), F.lit(1)))).where(
+        copies.between(F.lit(0), MOST * F.col("n"))).withColumn("miss", F.abs(F.col("off") + F.col("change") * F.col("size")))
+    mend = mend.where(F.col("miss") < F.abs("off")).groupBy("sid").agg(F.min(F.struct("miss", "size", "change")).alias("b")).select(
+        "sid", F.col("b.size").alias("size"), F.col("b.change").alias("change"))
+    return chosen.join(mend, ["sid", "size"], "left").select(
+        "sid", "size", "n", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
