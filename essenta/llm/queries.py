@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from essenta.llm import exact_dedup, mixing, packing, simhash, warc
+from essenta.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, simhash, warc
 from essenta.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality_classifier")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 @query("op2_best_fit_packing")
 def op2(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -66,3 +72,8 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       FROM documents)""")
 def op9(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_perplexity_bands")
+def op10(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
