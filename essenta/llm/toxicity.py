@@ -2,8 +2,8 @@
 
 1. Words and word beginnings that mark toxic documents are mined from labelled training rows
    by a likelihood ratio test; together with a short fixed list they make the lexicons.
-2. Voters look at a text: parts of the lexicons, word beginnings of several lengths, the
-   fixed list, disguised spellings, the absence of any hit, and the given label.
+2. Voters look at a text: words and word beginnings, each by tier of precision, the fixed
+   list, disguised spellings, the absence of any hit, and the given label.
 3. A generative model with the true class as the hidden variable estimates by expectation
    maximisation how often each voter votes either way in either class. Voters that agree
    beyond what the class explains are correlated; the model estimates these correlations
@@ -19,7 +19,6 @@ rows, but language, source and id are never inputs of a score.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,13 +32,15 @@ from pyspark.sql import functions as F
 from essenta.llm.common import Folder
 
 FIT_ROWS, LEXICON, THRESHOLD = 50_000, 20_000, 0.3
-LEAST_GAIN, LEAST_PRECISION, ROUNDS = 20.0, 0.8, 60
-PREFIXES, PARTS, SKETCH = (4, 5, 6), 3, 4
+LEAST_GAIN, ROUNDS, SKETCH = 24.0, 60, 4
+LABEL_ACCURACY = 0.99  # prior of the label model; it weighs as much as the data
+PREFIXES = (3, 4, 5, 6, 7, 8)
+TIERS = (0.95, 0.85, 0.7)  # smoothed precision of the keys of a lexicon part
 # Plain insults that need no evidence from labels.
 INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard", "asshole"]
 # Letters that digits and signs stand for in disguised spellings.
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"})
-HITS = [*(f"word{k}" for k in range(PARTS)), *(f"start{n}" for n in PREFIXES), "listed", "disguised"]
+HITS = [*(f"word{t}" for t in TIERS), *(f"start{t}" for t in TIERS), "listed", "disguised"]
 VOTERS = [*HITS, "no_word", "no_start", "label"]
 _EDGE = ".,;:!?\"'()[]{}<>*#%&|-_~`…«»“”‘’¿¡\\/"
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -95,8 +96,10 @@ def hit_counts(text: str | None, lexicon: dict[str, int], listed: frozenset[str]
     return counts
 
 
-def voter_of(key: str) -> int:
-    return PARTS + PREFIXES.index(len(key) - 1) if key.endswith("*") else zlib.crc32(key.encode()) % PARTS
+def voter_of(key: str, precision: float) -> int:
+    """Position in ``HITS``: words and beginnings apart, by tier of precision."""
+    tier = next(k for k, t in enumerate(TIERS) if precision >= t)
+    return tier + len(TIERS) * key.endswith("*")
 
 
 def mine_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, int]:
@@ -119,18 +122,18 @@ def mine_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, int]:
     seen = F.col("a") + F.col("b")
     part = lambda x, share: F.when(x > 0, x * F.log(x / (seen * share))).otherwise(0.0)
     gain = 2 * (part(F.col("a"), rate) + part(F.col("b"), 1 - rate))
-    found = counted.where(F.col("a") > 1).withColumn("gain", gain).where(
-        (F.col("gain") >= LEAST_GAIN) & (F.col("a") >= LEAST_PRECISION * seen)).orderBy(F.desc("gain"), "key").limit(size)
-    return {r["key"]: voter_of(r["key"]) for r in found.select("key").collect()}
+    found = counted.where(F.col("a") > 1).withColumn("gain", gain).withColumn("precision", F.col("a") / (seen + 1)).where(
+        (F.col("gain") >= LEAST_GAIN) & (F.col("precision") >= TIERS[-1])).orderBy(F.desc("gain"), "key").limit(size)
+    return {r["key"]: voter_of(r["key"], r["precision"]) for r in found.collect()}
 
 
 def votes(hits: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Votes in {-1, 0, 1}, one column per voter; 0 abstains."""
-    starts, n = PARTS + len(PREFIXES), len(HITS)
+    n, t = len(HITS), len(TIERS)
     out = np.zeros((len(hits), len(VOTERS)), np.int8)
     out[:, :n] = hits > 0
-    out[:, n] = -(hits[:, :PARTS].sum(1) == 0).astype(np.int8)
-    out[:, n + 1] = -(hits[:, PARTS:starts].sum(1) == 0).astype(np.int8)
+    out[:, n] = -(hits[:, :t].sum(1) == 0).astype(np.int8)
+    out[:, n + 1] = -(hits[:, t:2 * t].sum(1) == 0).astype(np.int8)
     out[:, n + 2] = np.where(label == 1, 1, -1)
     return out
 
@@ -142,13 +145,14 @@ def label_model(patterns: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, d
     voter's vote probabilities by class, the correlations given the class and the discounts.
     """
     m = patterns.shape[1]
-    q = 1 / (1 + np.exp(-(patterns.sum(1) + 0.5 * patterns[:, -1])))
+    q = 1 / (1 + np.exp(-(0.5 * patterns.sum(1) + 3.0 * patterns[:, -1])))
     discount = np.ones(m)
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
     for _ in range(ROUNDS):
         by_class = np.stack([(1 - q) * weight, q * weight])
         share = np.clip(by_class.sum(1) / max(1e-9, weight.sum()), 1e-4, 1 - 1e-4)
         table = np.einsum("cn,nmv->cmv", by_class, onehot) + 0.5
+        table[:, -1] += by_class.sum(1)[:, None] * np.array([[LABEL_ACCURACY, 0, 1 - LABEL_ACCURACY], [1 - LABEL_ACCURACY, 0, LABEL_ACCURACY]])
         table /= table.sum(2, keepdims=True)
         # correlation given the class, from the residuals of the votes
         mean = table[:, :, 2] - table[:, :, 0]
@@ -159,6 +163,7 @@ def label_model(patterns: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, d
         sd = np.sqrt(np.maximum(np.diag(inside), 1e-9))
         correlation = inside / np.outer(sd, sd)
         discount = 1 / (1 + np.maximum(correlation - np.eye(m), 0).sum(1))
+        discount[-1] = 1.0  # the label was not made from the text's hits
         evidence = np.einsum("nmv,cmv->cnm", onehot, np.log(table)) @ discount + np.log(share)[:, None]
         new = 1 / (1 + np.exp(np.clip(evidence[0] - evidence[1], -50, 50)))
         if np.abs(new - q).max() < 1e-9:
