@@ -29,7 +29,7 @@ from essenta.llm.common import Folder, own_name
 from essenta.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-SHARD, MOST_SHARDS, SAMPLE, LEAF, BLOCK = 32_768, 65_536, 4_096, 512, 1 << 16
+SHARD, MOST_SHARDS, SAMPLE, LEAF, BLOCK = 8_192, 65_536, 4_096, 512, 1 << 16
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
