@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from essenta.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, warc
+from essenta.llm import exact_dedup, html_text, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, warc
 from essenta.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op2(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op3_html_layout")
+def op3(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 @query("op4_suffix_passages")
 def op4(spark, sf_dir):
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
