@@ -52,8 +52,11 @@ def shrunk(symbols: str, cost: str, centre: str, prior: int) -> Column:
 
 
 def trusted_model(docs: DataFrame, trusted: DataFrame, folder: Folder, text: str = "text", doc_id: str = "doc_id"):
-    """Tables of the model of all documents whose id is in ``trusted (doc_id)``."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(trusted, "doc_id", "left_semi")
+    """Tables of the model of all documents whose id is in ``trusted (doc_id)``.
+
+    The ids grow with the corpus, so they are never broadcast: texts and ids meet in one shuffle.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(trusted.hint("merge"), "doc_id", "left_semi")
     return kn.estimate(kn.count_grams(rows), folder)
 
 
