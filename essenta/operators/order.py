@@ -206,7 +206,9 @@ def quantiles(
         all_at_once = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]))
         return df.groupBy(*keys).agg(all_at_once.alias("_q")).select(
             *keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
-    return pick_quantiles(value_counts(df, keys, value, largest), keys, value, probs)
+    picked = pick_quantiles(value_counts(df, keys, value, largest), keys, value, probs)
+    # groups without a value have a row of nulls, as above
+    return df.select(*keys).distinct().join(picked, list(keys), "left") if keys else picked
 
 
 def pick_quantiles(counted: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -27,8 +27,9 @@ def once_only(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def quartile_label(x: Column, q1: Column, q2: Column, q3: Column) -> Column:
-    """Right-closed groups, the lowest value belongs to Q1."""
-    return F.when(x <= q1, "Q1").when(x <= q2, "Q2").when(x <= q3, "Q3").otherwise("Q4")
+    """Right-closed groups, the lowest value belongs to Q1; a missing value (null or NaN) has no group."""
+    missing = x.isNull() | F.isnan(x.cast("double"))
+    return F.when(missing, None).when(x <= q1, "Q1").when(x <= q2, "Q2").when(x <= q3, "Q3").otherwise("Q4")
 
 
 def quartiles(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "quartile") -> DataFrame:

@@ -77,7 +77,9 @@ def correlation_test(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
     for name in ("pearson", "spearman"):
         r = F.col(name)
         t = r * F.sqrt(dof / F.nullif((1 - r) * (1 + r), F.lit(0.0)))
-        out = out.withColumn(f"{name}_p", F.when(F.abs(r) < 1, P.t_two_sided(t, dof)).when(r.isNotNull(), 0.0))
+        # two rows always lie on a line: no degrees of freedom, no p
+        p = F.when(F.abs(r) < 1, P.t_two_sided(t, dof)).when(r.isNotNull(), 0.0)
+        out = out.withColumn(f"{name}_p", F.when(F.col("n") > 2, p))
     return out
 
 
@@ -299,7 +301,7 @@ def t_test(
         "_t": F.when(enough, (F.col("_m1") - F.col("_m2")) / F.nullif(se, F.lit(0.0))),
         "_dof": F.when(enough, F.when(equal, dof).otherwise(welch))})
     upper = P.t_sf("_t", "_dof")
-    p = {"greater": upper, "less": 1 - upper, "two-sided": P.t_two_sided("_t", "_dof")}[alternative]
+    p = {"greater": upper, "less": P.t_sf(-F.col("_t"), "_dof"), "two-sided": P.t_two_sided("_t", "_dof")}[alternative]
     return out.select(
         *keys, n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), F.col("_t").alias("t"),
         F.col("_dof").alias("dof"), p.alias("p"), "levene_p")

@@ -94,10 +94,11 @@ def _(t):
 
 @query("d12_wide", with_("lin", "x AS (SELECT c_mktsegment, lineage, max(c_acctbal) AS v FROM lin GROUP BY 1, 2)") + """
 SELECT c_mktsegment AS drug, max(v) FILTER (lineage = 'AFRICA') AS "AFRICA", max(v) FILTER (lineage = 'AMERICA') AS "AMERICA",
-  max(v) FILTER (lineage = 'ASIA') AS "ASIA" FROM x GROUP BY 1""")
+  max(v) FILTER (lineage = 'ASIA') AS "ASIA", max(v) FILTER (lineage = 'EUROPE') AS "EUROPE",
+  max(v) FILTER (lineage = 'MIDDLE EAST') AS "MIDDLE EAST" FROM x GROUP BY 1""")
 def _(t):
     rows = t.lineage().groupBy(F.col("c_mktsegment").alias("drug"), "lineage").agg(F.max("c_acctbal").alias("v"))
-    return D.wide(rows, "drug", "lineage", "v", ["AFRICA", "AMERICA", "ASIA"])
+    return D.wide(rows, "drug", "lineage", "v", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
 
 
 @query("d13_melt", """

@@ -156,11 +156,11 @@ def _(t):
 
 
 @query("h11_bh", f"""
-WITH p AS (SELECT event_type, event_id, value / 1000 AS p FROM events WHERE value < 1000),
+WITH p AS (SELECT event_type, event_id, value / (value + 1000) AS p FROM events),
 k AS (SELECT *, p * count(*) OVER (PARTITION BY event_type) / (rank() OVER (PARTITION BY event_type ORDER BY p) + count(*) OVER (PARTITION BY event_type, p) - 1) AS raw FROM p)
 SELECT event_id, {R('least(1.0, min(raw) OVER (PARTITION BY event_type ORDER BY p DESC RANGE UNBOUNDED PRECEDING))')} AS p_adj FROM k""")
 def _(t):
-    rows = t.events.where("value < 1000").select("event_type", "event_id", (F.col("value") / 1000).alias("p"))
+    rows = t.events.select("event_type", "event_id", (F.col("value") / (F.col("value") + 1000)).alias("p"))
     return H.adjust_bh(rows, ["event_type"]).select("event_id", r("p_adj").alias("p_adj"))
 
 
