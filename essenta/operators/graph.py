@@ -9,6 +9,7 @@ all per-node sums combine map-side.
 
 from __future__ import annotations
 
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +19,25 @@ from essenta.operators.topk import feature_set
 from essenta.session import cut
 
 
-def both_ways(edges: DataFrame, weight: str | None = "weight") -> DataFrame:
-    """Both directions of every edge; parallel edges keep the smallest weight, loops go.
+def both_ways(edges: DataFrame, weight: str | None = "weight", merge: str = "min") -> DataFrame:
+    """Both directions of every edge; loops go.
 
-    Without a weight column every edge counts 1.
+    Parallel edges keep the smallest weight (lengths) or, with ``merge="sum"``, add up
+    (strengths). Without a weight column every edge counts 1.
     """
     size = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     forward = edges.select("src", "dst", size.alias("weight"))
     backward = forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return forward.unionByName(backward).where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    return forward.unionByName(backward).where("src <> dst").groupBy("src", "dst").agg(
+        (F.sum if merge == "sum" else F.min)("weight").alias("weight"))
+
+
+def lengths(edges: DataFrame, weight: str | None = "weight") -> DataFrame:
+    """Both directions with lengths; a length that is not positive is an error (paths would not end)."""
+    moves = cut(both_ways(edges, weight))
+    if not moves.where("weight IS NULL OR isnan(weight) OR weight <= 0").isEmpty():
+        raise ValueError("edge lengths must be positive")
+    return moves
 
 
 class HeldEdges:
@@ -89,9 +100,10 @@ def random_walk(
     edges passes nothing on. A seed set with no hub in the graph is an error. The walk
     stops when the L1 change of every set is below ``tol`` and returns the iterate before
     that step; the change is looked at every ``check_every`` steps (1 gives the first such
-    step exactly).
+    step exactly). Parallel edges add up. Nodes that a set never reaches have no row; their
+    probability is 0. A walk that has not settled after ``max_iter`` steps warns.
     """
-    moves = both_ways(edges, strength)
+    moves = both_ways(edges, strength, "sum")
     every = nodes(edges)
     out = moves.groupBy("src").agg(F.sum("weight").alias("_total"))
     held = HeldEdges(cut(moves.join(out, "src").where("_total > 0").select(
@@ -112,7 +124,7 @@ def random_walk(
     def collect(parts: DataFrame) -> DataFrame:
         return parts.groupBy("seed_set", "node").agg(F.sum("p").alias("p"))
 
-    p, done = start, 0
+    p, done, settled = start, 0, False
     while done < max_iter:
         for _ in range(min(check_every, max_iter - done) - 1):
             p, done = collect(step(p)), done + 1
@@ -124,21 +136,16 @@ def random_walk(
         change = both.groupBy("seed_set").agg(F.sum(F.abs(F.col("p") - F.col("_old"))).alias("_d"))
         head = change.agg(F.max("_d").alias("largest"), F.count(F.lit(1)).alias("sets")).first()
         if head["largest"] < tol:
-            p = both.select("seed_set", "node", F.col("_old").alias("p"))
+            p, settled = both.select("seed_set", "node", F.col("_old").alias("p")).where("p > 0"), True
             break
         # a settled set keeps its iterate, so later rounds of other sets leave it as it is
         change = F.broadcast(change) if head["sets"] <= 10_000 else change
         p = both.join(change, "seed_set").select(
             "seed_set", "node", F.when(F.col("_d") < tol, F.col("_old")).otherwise(F.col("p")).alias("p"))
     held.release()
-    return p.withColumnRenamed("p", "probability").unionByName(_unreached(sets, every, p))
-
-
-def _unreached(sets: DataFrame, every: DataFrame, p: DataFrame) -> DataFrame:
-    """Nodes a set never reached, with probability 0 (each set's whole graph is the result)."""
-    names = sets.agg(F.collect_set("seed_set").alias("_sets"))
-    grid = attach(every.select("node"), names).select(F.explode("_sets").alias("seed_set"), "node")
-    return grid.join(p.select("seed_set", "node"), ["seed_set", "node"], "left_anti").withColumn("probability", F.lit(0.0))
+    if not settled:
+        warnings.warn(f"the walk has not settled after {done} steps", RuntimeWarning, stacklevel=2)
+    return p.withColumnRenamed("p", "probability")
 
 
 # Shortest paths -------------------------------------------------------------------
@@ -176,7 +183,7 @@ def nodes_per_distance(paths: DataFrame) -> DataFrame:
 def weighted_distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Distance to the nearest start of each group: ``(grp, node, dist, root, pred)``.
 
-    ``starts``: (grp, node). Rounds of relaxation from the nodes that changed; ties go to
+    ``edges`` come from ``lengths``; ``starts``: (grp, node). Rounds of relaxation from the nodes that changed; ties go to
     the smaller root, then the smaller predecessor.
     """
     state = cut(starts.select(
@@ -260,7 +267,7 @@ def steiner_trees(edges: DataFrame, terminals: DataFrame, length: str = "weight"
     their terminals; a spanning forest of these links is expanded along the predecessors.
     Weights are lengths.
     """
-    moves = cut(both_ways(edges, length))
+    moves = lengths(edges, length)
     near = weighted_distances(moves, terminals)
     left = near.select("grp", F.col("node").alias("src"), F.col("dist").alias("_du"), F.col("root").alias("a"))
     right = near.select("grp", F.col("node").alias("dst"), F.col("dist").alias("_dv"), F.col("root").alias("b"))
@@ -301,7 +308,7 @@ def subset_betweenness(edges: DataFrame, sources: DataFrame, targets: DataFrame,
     Scaled by 1 / ((n - 1)(n - 2)). Path counts run forward and dependencies run backward
     along the shortest-path edges, one hop per round, all sources together.
     """
-    moves = cut(both_ways(edges, length))
+    moves = lengths(edges, length)
     every = nodes(edges)
     n = every.count()
     starts = sources.select("node").distinct().join(every, "node", "left_semi").select(F.col("node").alias("grp"), "node")

@@ -232,6 +232,12 @@ def median(
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
-    """First ``k`` rows per key. Spark cuts each map task to ``k`` rows per key before the shuffle."""
+    """First ``k`` rows per key; without keys the first ``k`` of the table.
+
+    Without keys every task keeps ``k`` rows before they meet. With keys Spark does the same
+    up to its window group limit (1,000 by default); for a larger ``k`` use ``position``.
+    """
+    if not keys:
+        df = df.orderBy(*order).limit(k)
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w).cast("long")).where(F.col(out) <= k)

@@ -76,8 +76,22 @@ class Tables:
             F.col("p_brand").alias("dst"),
         ).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
+    def ties(self) -> DataFrame:
+        """A sparse undirected graph: customers and suppliers - nations - regions, customers - order priorities."""
+        name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+        one = F.lit(1.0).alias("weight")
+        return self.customer.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"), one).unionByName(
+            self.supplier.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"), one)).unionByName(
+            self.nation.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"), one)).unionByName(
+            self.orders.groupBy(name("c", "o_custkey").alias("src"), F.col("o_orderpriority").alias("dst")).agg(
+                F.count(F.lit(1)).cast("double").alias("weight")))
+
 
 CTE = {
+    "ties": """ties AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 1.0::DOUBLE AS weight FROM customer
+        UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 1.0 FROM supplier
+        UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1.0 FROM nation
+        UNION ALL SELECT 'c' || o_custkey, o_orderpriority, count(*) FROM orders GROUP BY 1, 2)""",
     "expr": """expr AS (SELECT sample, 'f' || CAST(p - 1 AS VARCHAR) AS gene, CAST(v AS DOUBLE) AS value FROM (
         SELECT CAST(vec_id AS VARCHAR) AS sample, unnest(embedding) AS v,
                generate_subscripts(embedding, 1) AS p FROM embeddings))""",

@@ -9,17 +9,12 @@ ROUNDS = 60
 BOTH = """
 e1 AS (SELECT src, dst, weight FROM edge UNION ALL SELECT dst, src, weight FROM edge),
 node AS (SELECT DISTINCT src AS node FROM e1)"""
-# a sparser graph, so that paths have several hops
-STRONG = """
-strong AS (SELECT src, dst, weight FROM edge WHERE weight >= 30),
-e1 AS (SELECT src, dst FROM strong UNION ALL SELECT dst, src FROM strong),
+# the sparse graph, in which paths have several hops
+TIES = """
+e1 AS (SELECT src, dst FROM ties UNION ALL SELECT dst, src FROM ties),
 node AS (SELECT DISTINCT src AS node FROM e1)"""
 
 
-def strong(t):
-    return t.edges().where("weight >= 30")
-
-
 def _walk_sql():
     steps = ["w0 AS MATERIALIZED (SELECT seed_set, node, p FROM home)"]
     for i in range(ROUNDS):
@@ -29,8 +24,7 @@ def _walk_sql():
 t AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS t FROM e1)""", """
 home AS (SELECT seed_set, node, 1.0 / count(*) OVER (PARTITION BY seed_set) AS p FROM
   (SELECT r_name AS seed_set, 's' || s_suppkey AS node FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) JOIN node USING (node))""", *steps) + f"""
-SELECT s.seed_set, n.node, {R('coalesce(w.p, 0)')} AS probability FROM (SELECT DISTINCT seed_set FROM home) s JOIN node n ON TRUE
-LEFT JOIN w{ROUNDS} w ON w.seed_set = s.seed_set AND w.node = n.node"""
+SELECT seed_set, node, {R('p')} AS probability FROM w{ROUNDS}"""
 
 
 def hubs(t):
@@ -46,34 +40,34 @@ def _(t):
 
 @query("n2_steiner")
 def _(t):
-    names = t.part.select(F.col("p_brand").alias("node")).distinct()
-    return G.steiner_subgraph(strong(t), names, n_iter=3, share=0.4)
+    names = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    return G.steiner_subgraph(t.ties(), names, n_iter=50)
 
 
-@query("n3_sample_nodes", with_("edge", STRONG, """
-present AS (SELECT node FROM node WHERE node LIKE 'Brand%')""") + """
+@query("n3_sample_nodes", with_("ties", TIES, """
+present AS (SELECT node FROM node WHERE node LIKE 'n%')""") + """
 SELECT grp, node FROM (SELECT CAST(grp AS INTEGER) AS grp, node, row_number() OVER (PARTITION BY grp ORDER BY md5(node || '|' || grp || '|42'), node) AS pos
   FROM present, (SELECT unnest(range(5)) AS grp)) WHERE pos <= floor((SELECT count(*) FROM present) * 0.7)""")
 def _(t):
-    return G.sample_nodes(strong(t), t.part.select(F.col("p_brand").alias("node")), 5)
+    return G.sample_nodes(t.ties(), t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("node")), 5)
 
 
-LEVELS = 14
+LEVELS = 12
 
 
-def _paths_sql(tail):
-    steps = ["l0 AS (SELECT node AS source, node, 0 AS distance, 1.0::DOUBLE AS n_paths, node AS path FROM node WHERE node IN ('Brand#1', 'Brand#2'))",
+def _paths_sql(tail, sources="node IN ('n1', 'n2')"):
+    steps = [f"l0 AS (SELECT node AS source, node, 0 AS distance, 1.0::DOUBLE AS n_paths, node AS path FROM node WHERE {sources})",
              "s0 AS (SELECT * FROM l0)"]
     for i in range(LEVELS):
         steps.append(f"""l{i + 1} AS MATERIALIZED (SELECT source, e.dst AS node, {i + 1} AS distance, sum(n_paths) AS n_paths, min(path || ':' || e.dst) AS path
   FROM l{i} JOIN e1 e ON e.src = node WHERE NOT EXISTS (SELECT 1 FROM s{i} s WHERE s.source = l{i}.source AND s.node = e.dst) GROUP BY 1, 2)""")
         steps.append(f"s{i + 1} AS MATERIALIZED (SELECT * FROM s{i} UNION ALL SELECT * FROM l{i + 1})")
-    return with_("edge", STRONG, *steps) + tail.format(s=f"s{LEVELS}")
+    return with_("ties", TIES, *steps) + tail.format(s=f"s{LEVELS}")
 
 
 def _paths(t):
-    source = t.part.where("p_brand IN ('Brand#1', 'Brand#2')").select(F.col("p_brand").alias("node")).distinct()
-    return G.hop_paths(strong(t), source)
+    source = t.nation.where("n_nationkey IN (1, 2)").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    return G.hop_paths(t.ties(), source)
 
 
 @query("n4_shortest_paths", _paths_sql("SELECT source, node, distance, n_paths, path FROM {s}"))
@@ -91,21 +85,25 @@ def _(t):
     return G.within_distance(_paths(t))
 
 
-@query("n6_degree", with_("edge", STRONG) + "SELECT src AS node, count(*) AS degree FROM e1 GROUP BY 1")
+@query("n6_degree", with_("ties", TIES) + "SELECT src AS node, count(*) AS degree FROM e1 GROUP BY 1")
 def _(t):
-    return G.degree(strong(t))
+    return G.degree(t.ties())
 
 
-@query("n6_neighbours", with_("edge", STRONG) + "SELECT src AS node, dst AS neighbour FROM e1 WHERE src IN (SELECT p_brand FROM part WHERE p_type = 'SMALL')")
+@query("n6_neighbours", with_("ties", TIES) + "SELECT src AS node, dst AS neighbour FROM e1 WHERE src IN (SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def _(t):
-    return G.neighbours(strong(t), t.part.where("p_type = 'SMALL'").select(F.col("p_brand").alias("node")))
+    return G.neighbours(t.ties(), t.customer.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), "c_custkey").alias("node")))
 
 
-@query("n7_subset_betweenness")
+@query("n7_subset_betweenness", _paths_sql(f"""
+SELECT node, {R('betweenness')} AS betweenness FROM (SELECT node, coalesce(v, 0) / ((count(*) OVER () - 1.0) * (count(*) OVER () - 2.0)) AS betweenness FROM node
+LEFT JOIN (SELECT a.node, sum(a.n_paths * b.n_paths / d.n_paths) AS v FROM {{s}} a JOIN {{s}} b ON a.node = b.node
+  JOIN {{s}} d ON d.source = a.source AND d.node = b.source WHERE a.source LIKE 'n%' AND b.source LIKE 'r%' AND d.distance = a.distance + b.distance
+  AND a.node <> a.source AND b.node <> b.source GROUP BY 1) USING (node))""", "node SIMILAR TO '[nr][0-9]+'"))
 def _(t):
-    brands = t.part.select(F.col("p_brand").alias("node")).distinct()
-    targets = G.neighbours(strong(t), brands).select(F.col("neighbour").alias("node")).distinct()
-    return G.subset_betweenness(strong(t), brands, targets).select("node", r("betweenness").alias("betweenness"))
+    sources = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    targets = t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    return G.subset_betweenness(t.ties(), sources, targets, None).select("node", r("betweenness").alias("betweenness"))
 
 
 @query("n8_confident_edges", with_("edge") + """
