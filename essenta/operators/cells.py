@@ -30,6 +30,7 @@ VARIABLE_SHARE = 0.1
 # Scale that makes the median absolute deviation a normal sd.
 _MAD_TO_SD = 0.6744897501960817
 _LEAF_ROWS = 2048
+_PIVOTS = 4096
 _WAYS = 4
 
 
@@ -179,31 +180,116 @@ def components(scaled: DataFrame, genes: DataFrame, k: int = 50) -> DataFrame:
 # Neighbours -----------------------------------------------------------------------
 
 
+def _closest(queries: np.ndarray, asking: np.ndarray, data: np.ndarray, names: np.ndarray, k: int) -> pd.DataFrame:
+    """Up to ``k`` rows of ``data`` for each query, itself excluded, by distance and then by name."""
+    out: tuple[list, list, list] = ([], [], [])
+    place = np.argsort(np.argsort(names, kind="stable"), kind="stable")
+    squares = (data * data).sum(axis=1)
+    own = {name: j for j, name in enumerate(names)}
+    for at in range(0, len(queries), 512):
+        part, who = queries[at:at + 512], asking[at:at + 512]
+        near = (part * part).sum(axis=1)[:, None] + squares[None, :] - 2 * part @ data.T
+        for i, name in enumerate(who):
+            if name in own:
+                near[i, own[name]] = np.inf
+        m = min(k, len(names)) - 1
+        # all that the fast form cannot tell from the k-th are measured exactly
+        cut_at = np.partition(near, m, axis=1)[:, m] if m >= 0 else np.full(len(part), np.inf)
+        slack = 1e-9 * ((part * part).sum(axis=1) + squares.max(initial=0.0)) + 1e-12
+        for i, row in enumerate(near):
+            found = np.nonzero((row <= cut_at[i] + slack[i]) & (row < np.inf))[0]
+            gap = np.sqrt(((part[i] - data[found]) ** 2).sum(axis=1))
+            best = np.lexsort((place[found], gap))[:k]
+            out[0].append(np.repeat(who[i], len(best)))
+            out[1].append(names[found[best]])
+            out[2].append(gap[best])
+    flat = [np.concatenate(x) if x else np.array([]) for x in out]
+    return pd.DataFrame({"sample": flat[0], "neighbour": flat[1], "distance": flat[2].astype(float)})
+
+
 def _leaf_neighbours(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         z, names = np.vstack(pdf["z"].to_numpy()), pdf["sample"].to_numpy()
-        if len(names) < 2:
-            return pd.DataFrame({"sample": [], "neighbour": [], "distance": []})
-        squares = (z * z).sum(axis=1)
-        near = squares[:, None] + squares[None, :] - 2 * z @ z.T
-        np.fill_diagonal(near, np.inf)
-        # a few more than k, so that rounding in the fast form cannot lose one
-        m = min(k + 8, len(names) - 1)
-        found = np.argpartition(near, m - 1, axis=1)[:, :m]
-        gaps = np.sqrt(((z[:, None, :] - z[found]) ** 2).sum(axis=2)) if z.shape[0] * m * z.shape[1] < 2e7 else np.vstack(
-            [np.sqrt(((z[i] - z[f]) ** 2).sum(axis=1)) for i, f in enumerate(found)])
-        return pd.DataFrame({
-            "sample": np.repeat(names, m), "neighbour": names[found.ravel()], "distance": gaps.ravel()})
+        return _closest(z, names, z, names, k)
 
     return run
 
 
-def nearest(z: DataFrame, k: int = 20, trees: int = 8, leaf: int = _LEAF_ROWS, seed: int = 0) -> DataFrame:
+def _gaps(z: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((z * z).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * z @ pivots.T, 0.0))
+
+
+def nearest(z: DataFrame, k: int = 20, cell: int = _LEAF_ROWS, seed: int = 0) -> DataFrame:
     """The k nearest neighbours of every ``(sample, z ARRAY)``: ``(sample, neighbour, distance, rank)``.
 
-    Up to ``leaf`` samples the result is exact. Beyond, several random-projection trees cut
-    the samples at exact quantiles into leaves of at most ``leaf`` rows, however the data
-    are spread, and the best of all trees is kept (an approximate search).
+    Exact at every size. Samples belong to the cell of their nearest pivot (a hash sample of
+    at most ``_PIVOTS``), cells are dealt into blocks of about ``cell`` rows. The k-th distance
+    inside the own block bounds the search; a block is asked only if the triangle inequality
+    with its pivot and radius does not rule it out. A task compares one block with a bounded
+    chunk of queries and returns k rows per query. Ties go by name.
+    """
+    z = cut(z.select("sample", "z"))
+    kind = z.schema["sample"].dataType.simpleString()
+    n = z.count()
+    count = min(_PIVOTS, max(1, -(-n // cell)))
+    pivots = np.array([r["z"] for r in z.orderBy(F.xxhash64("sample", F.lit(seed)), "sample").limit(count).collect()], dtype=float)
+    if not n:
+        return z.select("sample", F.col("sample").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).cast("long").alias("rank"))
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                gap = _gaps(np.vstack(pdf["z"].to_numpy()), pivots)
+                yield pdf.assign(cell=gap.argmin(1), gap=gap.min(1))
+
+    placed = cut(z.mapInPandas(place, f"sample {kind}, z array<double>, cell long, gap double"))
+    found = {r["cell"]: (r["radius"], -(-r["n"] // cell)) for r in placed.groupBy("cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
+    radius = np.array([found.get(c, (-np.inf, 0))[0] for c in range(count)])
+    blocks = np.array([found.get(c, (0, 0))[1] for c in range(count)], dtype=int)
+    chunks = max(1, -(-n // (8 * cell)))
+    many = F.element_at(F.lit(blocks.tolist()).cast("array<int>"), (F.col("cell") + 1).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("sample"), many).cast("int"))
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.vstack(pdf["z"].to_numpy())
+        best = _closest(own, pdf["sample"].to_numpy(), own, pdf["sample"].to_numpy(), k)
+        full = best.groupby("sample")["distance"].agg(["size", "max"])
+        full.loc[full["size"] < k, "max"] = np.inf
+        return pd.DataFrame({"sample": pdf["sample"], "z": pdf["z"], "most": pdf["sample"].map(full["max"]).fillna(np.inf)})
+
+    bounded = cut(placed.groupBy("cell", "block").applyInPandas(bound, f"sample {kind}, z array<double>, most double"))
+
+    def ask(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            gap = _gaps(np.vstack(pdf["z"].to_numpy()), pivots)
+            most = pdf["most"].to_numpy()[:, None]
+            who, where = np.nonzero(gap - radius[None, :] <= most + 1e-6 * (1 + np.where(np.isfinite(most), most, 0)))
+            times = blocks[where]
+            who, where = np.repeat(who, times), np.repeat(where, times)
+            block = np.concatenate([np.arange(t) for t in times]) if len(times) else np.array([], int)
+            yield pd.DataFrame({"cell": where, "block": block, "sample": pdf["sample"].to_numpy()[who], "z": pdf["z"].to_numpy()[who]})
+
+    chunk = F.pmod(F.xxhash64("sample", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")
+    queries = bounded.mapInPandas(ask, f"cell long, block int, sample {kind}, z array<double>").select("*", chunk)
+    data = placed.select("cell", "block", "sample", "z", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+
+    def meet(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(stored):
+            return pd.DataFrame({"sample": [], "neighbour": [], "distance": []})
+        return _closest(np.vstack(asked["z"].to_numpy()), asked["sample"].to_numpy(), np.vstack(stored["z"].to_numpy()), stored["sample"].to_numpy(), k)
+
+    key = ["cell", "block", "chunk"]
+    pairs = queries.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(meet, f"sample {kind}, neighbour {kind}, distance double")
+    return top_rows(pairs, ["sample"], [F.col("distance"), F.col("neighbour")], k)
+
+
+def nearest_by_trees(z: DataFrame, k: int = 20, trees: int = 8, leaf: int = _LEAF_ROWS, seed: int = 0) -> DataFrame:
+    """Approximate neighbours, as ``nearest``.
+
+    Random-projection trees cut the samples at exact quantiles into leaves of at most
+    ``leaf`` rows, however the data are spread, and the best of all trees is kept.
     """
     z = cut(z.select("sample", "z"))
     n = z.count()

@@ -92,7 +92,7 @@ def neighbours(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 def random_walk(
     edges: DataFrame, hubs: DataFrame, restart: float = 0.4, strength: str = "weight", tol: float = 1e-9,
-    max_iter: int = 1000, check_every: int = 5,
+    max_iter: int = 1000, check_every: int = 5, zeros: bool = True,
 ) -> DataFrame:
     """Random walk with restart from hub nodes: ``(seed_set, node, probability)``.
 
@@ -100,8 +100,9 @@ def random_walk(
     edges passes nothing on. A seed set with no hub in the graph is an error. The walk
     stops when the L1 change of every set is below ``tol`` and returns the iterate before
     that step; the change is looked at every ``check_every`` steps (1 gives the first such
-    step exactly). Parallel edges add up. Nodes that a set never reaches have no row; their
-    probability is 0. A walk that has not settled after ``max_iter`` steps warns.
+    step exactly). Parallel edges add up. Nodes that a set never reaches have probability 0;
+    without ``zeros`` they have no row, which many seed sets on a large graph call for. A walk
+    that has not settled after ``max_iter`` steps warns.
     """
     moves = both_ways(edges, strength, "sum")
     every = nodes(edges)
@@ -145,7 +146,18 @@ def random_walk(
     held.release()
     if not settled:
         warnings.warn(f"the walk has not settled after {done} steps", RuntimeWarning, stacklevel=2)
-    return p.withColumnRenamed("p", "probability")
+    p = p.withColumnRenamed("p", "probability")
+    return p.unionByName(_unreached(sets, every, p)) if zeros else p
+
+
+def _unreached(sets: DataFrame, every: DataFrame, p: DataFrame) -> DataFrame:
+    """Nodes a set never reached, with probability 0."""
+    lost = every.join(p.groupBy("node").agg(F.count(F.lit(1)).alias("_k")), "node", "left")
+    n = sets.select("seed_set").distinct().count()
+    lost = lost.where(F.coalesce("_k", F.lit(0)) < n).select("node", F.explode(F.sequence(F.lit(1), F.lit(n).cast("long"))).alias("_i"))
+    named = position(sets.select("seed_set").distinct(), [], ["seed_set"], "_i")
+    return lost.join(named, "_i").select("seed_set", "node").join(
+        p.select("seed_set", "node"), ["seed_set", "node"], "left_anti").withColumn("probability", F.lit(0.0))
 
 
 # Shortest paths -------------------------------------------------------------------

@@ -261,7 +261,7 @@ def component_scores(z: DataFrame, size: int = 10) -> DataFrame:
     return joined.select("model_id", "sample", padded.alias("components"))
 
 
-def group_samples(z: DataFrame, k: int = 8, least: int = 13, seed: int = 198716) -> DataFrame:
+def group_samples(z: DataFrame, k: int = 8, least: int = 13, seed: int = 20357) -> DataFrame:
     """Group samples by latent position with bisecting k-means; groups under ``least`` get 0.
 
     Rows ``(sample, z ARRAY)``. Labels run from 1 by falling size.

@@ -103,12 +103,12 @@ def _(t):
 
 @query("k10_trial_table", """
 WITH t AS (SELECT CAST(i AS INTEGER) AS trial, list_transform(['latent_dim', 'learning_rate', 'lambda'],
-  lambda n: CAST('0x' || substr(md5(i || '|' || n || '|198716'), 1, 8) AS BIGINT) / 4294967296.0) AS u FROM (SELECT unnest(range(100)) AS i)),
+  lambda n: CAST('0x' || substr(md5(i || '|' || n || '|20357'), 1, 8) AS BIGINT) / 4294967296.0) AS u FROM (SELECT unnest(range(100)) AS i)),
 n AS (SELECT p_brand AS drug, p_type AS target, count(*) AS samples FROM part GROUP BY 1, 2)
 SELECT drug, target, samples, trial, CAST(10 + 5 * floor(u[1] * 13) AS INTEGER) AS latent_dim, round(10 ** (-5 + 3 * u[2]), 9) AS learning_rate, round(10 ** (-5 + 4 * u[3]), 8) AS lambda FROM t, n""")
 def _(t):
     pairs = t.part.groupBy(F.col("p_brand").alias("drug"), F.col("p_type").alias("target")).agg(F.count(F.lit(1)).alias("samples"))
-    grid = pairs.select("*", F.explode(M.random_trials(100, 198716)).alias("t"))
+    grid = pairs.select("*", F.explode(M.random_trials(100, 20357)).alias("t"))
     return grid.select("drug", "target", "samples", "t.trial", "t.latent_dim", F.round("t.learning_rate", 9).alias("learning_rate"), F.round("t.lambda", 8).alias("lambda"))
 
 
@@ -156,7 +156,7 @@ def _(t):
 def _(t):
     ready = _ready(t)
     weights = M.response_weights(ready["centred"])
-    losses = M.trial_losses(M.search(ready["moments"], weights, ready["models"], M.random_trials(8, 198716), epochs=20))
+    losses = M.trial_losses(M.search(ready["moments"], weights, ready["models"], M.random_trials(8, 20357), epochs=20))
     return losses.select("model_id", "trial", "latent_dim", "diverged", r("val_loss").alias("val_loss"))
 
 

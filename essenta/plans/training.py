@@ -36,7 +36,7 @@ def prepare(
 
 def train(
     expression: DataFrame, responses: DataFrame, models: DataFrame, trials: Column | None = None,
-    n_trials: int = 100, tuning_epochs: int = 500, training_epochs: int = 1000, trial_seed: int = 198716,
+    n_trials: int = 100, tuning_epochs: int = 500, training_epochs: int = 1000, trial_seed: int = 20357,
     absolute: bool = False, **options,
 ) -> dict[str, DataFrame]:
     """Search, final fit and hold-out metrics for every model of the grid.

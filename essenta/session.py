@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.essenta.scratch", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # not local-cluster
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         found = tempfile.mkdtemp(prefix="essenta-")
         spark.conf.set("spark.essenta.scratch", found)
@@ -64,6 +67,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/essenta/{name}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per session, wherever it was started from."""
+    context = spark.sparkContext
+    if spark.conf.get("spark.essenta.shipped", "") == context.applicationId:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="essenta-"), "essenta.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    z.write(file, os.path.join("essenta", os.path.relpath(file, here)))
+    context.addPyFile(path)
+    spark.conf.set("spark.essenta.shipped", context.applicationId)
+
+
 def bounded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint a broadcast only when ``df`` was counted and is small enough.
 

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("model", "model_weight", "model_head", "model_split")
 
 
 def save_models(tables: dict[str, DataFrame], path: str) -> None:
-    """Append the learnt tables. Raw matrices are never stored."""
+    """Store the learnt tables, one folder per model id. Raw matrices are never stored.
+
+    A model that is stored again replaces its folders and no others, so a retried batch
+    leaves every model once.
+    """
     for name in TABLES:
         if name in tables:
-            tables[name].write.mode("append").parquet(f"{path.rstrip('/')}/{name}")
+            tables[name].withColumn("_model", F.col("model_id")).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy("_model").parquet(f"{path.rstrip('/')}/{name}")
 
 
 def load_models(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -19,7 +25,7 @@ def load_models(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     out = {}
     for name in TABLES:
         try:
-            out[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+            out[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}").drop("_model")
         except Exception as err:  # a table that was never saved
             if "PATH_NOT_FOUND" not in str(err):
                 raise

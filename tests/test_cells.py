@@ -52,9 +52,14 @@ def test_neighbours_exact_and_by_trees(spark):
     d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
     want = np.sort(d, axis=1)[:, :5]
-    got = S.nearest(df, 5).toPandas().sort_values(["sample", "rank"])["distance"].to_numpy().reshape(300, 5)
-    assert np.allclose(got, want)
-    near = S.nearest(df, 5, trees=12, leaf=80).toPandas()
+    names = np.array([f"s{i:03d}" for i in range(300)])
+    first = np.array([[names[j] for j in np.lexsort((names, d[i].round(9)))[:5]] for i in range(300)])
+    for cell in (2048, 40, 7):  # the same rows, however small the cells are
+        got = S.nearest(df, 5, cell=cell).toPandas().sort_values(["sample", "rank"])
+        assert np.allclose(got["distance"].to_numpy().reshape(300, 5), want)
+        assert (got["neighbour"].to_numpy().reshape(300, 5) == first).all()
+    assert S.nearest(df.limit(0)).count() == 0
+    near = S.nearest_by_trees(df, 5, trees=12, leaf=80).toPandas()
     assert (near.groupby("sample").size() == 5).all() and (near["sample"] != near["neighbour"]).all()
     found = near.sort_values(["sample", "rank"])["distance"].to_numpy().reshape(300, 5)
     assert (np.isclose(found, want)).mean() > 0.8

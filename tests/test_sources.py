@@ -126,3 +126,19 @@ def test_align_and_targets(spark):
     assert [t.count() for t in J.align(a, b)] == [2, 1]
     lists = spark.createDataFrame([("d", "G1, G2,G1,"), ("e", "")], "drug string, targets string")
     assert {(r.drug, r.target) for r in J.explode_targets(lists).collect()} == {("d", "G1"), ("d", "G2")}
+
+
+def test_wide_quoted_header(spark, tmp_path):
+    names = [f'g"{k},x' if k % 1000 == 0 else f"g{k}" for k in range(54_000)]
+    quote = lambda x: '"' + x.replace('"', '""') + '"'
+    (tmp_path / "m.csv").write_text(",".join(map(quote, ["id", *names])) + "\n" + ",".join(['"s,1"', *["1.5"] * 54_000]) + "\r\n")
+    rows = matrix.read_matrix(spark, str(tmp_path))
+    assert rows.count() == 54_000
+    assert [tuple(r) for r in rows.where("gene = 'g\"3000,x'").collect()] == [("s,1", 'g"3000,x', 1.5)]
+
+
+def test_files_with_other_headers_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,a,b\nx,1,2\n")
+    (tmp_path / "b.csv").write_text("id,b,a\ny,1,2\n")
+    with pytest.raises(ValueError):
+        matrix.read_matrix(spark, str(tmp_path))
