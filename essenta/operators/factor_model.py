@@ -192,6 +192,24 @@ def pack_samples(
         F.transform("_v", lambda e: e["value"]), F.array(F.lit(1.0))).alias("v"))
 
 
+def unfit_models(models: DataFrame, rows: DataFrame, features: DataFrame, split: DataFrame) -> DataFrame:
+    """``model_id, status`` of the models that cannot be packed, with the reason."""
+    size = features.groupBy("model_id").agg(F.count(F.lit(1)).alias("_p"))
+    seen = rows.groupBy("model_id", "sample").agg(F.count(F.lit(1)).alias("_seen"))
+    lacking = split.select("model_id", "sample").join(seen, ["model_id", "sample"], "left").join(size, "model_id").where(
+        F.coalesce("_seen", F.lit(0)) < F.col("_p")).select("model_id").distinct()
+    reasons = [
+        (models.select("model_id").join(split.select("model_id").distinct(), "model_id", "left_anti"), "no complete sample"),
+        (models.select("model_id").join(size, "model_id", "left_anti"), "no feature"),
+        (size.where(F.col("_p") > MOST_FEATURES).select("model_id"), f"more than {MOST_FEATURES} features"),
+        (lacking, "a sample lacks a feature")]
+    rows = None
+    for order, (found, status) in enumerate(reasons):
+        part = found.select("model_id", F.struct(F.lit(order).alias("o"), F.lit(status).alias("s")).alias("r"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("model_id").agg(F.min("r").alias("r")).select("model_id", F.col("r.s").alias("status"))
+
+
 def moments(packed: DataFrame, features: DataFrame, responses: DataFrame) -> DataFrame:
     """Moment table per (model, fold) with the names its rows and columns stand for."""
     genes = features.groupBy("model_id").agg(F.array_sort(F.collect_list("gene")).alias("genes"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from essenta.operators import factor_model as M
 from essenta.operators import scores as S
+from essenta.operators.order import attach
 from essenta.plans import training
 from essenta.plans.catalog import SEEDS, R, query, r, with_
 
@@ -101,6 +102,17 @@ def _(t):
     return out.select("fold", r("loss", 5).alias("loss"))
 
 
+@query("k14_aligned", with_("ic50") + """
+SELECT drug AS model_id, sample FROM ic50 JOIN customer ON sample = CAST(c_custkey AS VARCHAR) WHERE c_acctbal >= 0""")
+def _(t):
+    ic50 = t.ic50().select(F.col("drug").alias("model_id"), F.lit("ic50").alias("response"), "sample", "value")
+    # a dependency that is not measured where the balance is negative
+    dep = t.customer.select(F.col("c_custkey").cast("string").alias("sample"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("value"))
+    drugs = ic50.select("model_id").distinct().agg(F.collect_list("model_id").alias("d"))  # five order priorities
+    dep = attach(dep, drugs).select(F.explode("d").alias("model_id"), F.lit("dep").alias("response"), "sample", "value")
+    return training.complete_cases(ic50.unionByName(dep)).select("model_id", "sample").distinct()
+
+
 @query("k10_trial_table", """
 WITH t AS (SELECT CAST(i AS INTEGER) AS trial, list_transform(['latent_dim', 'learning_rate', 'lambda'],
   lambda n: CAST('0x' || substr(md5(i || '|' || n || '|20357'), 1, 8) AS BIGINT) / 4294967296.0) AS u FROM (SELECT unnest(range(100)) AS i)),

@@ -113,6 +113,22 @@ def test_missing_feature_is_an_error(tables):
         training.prepare(holes, resp, models, features=expr.selectExpr("'m' AS model_id", "gene").distinct())
 
 
+def test_one_unfit_model_ends_no_other(spark, tables):
+    expr, resp, models = tables
+    copy = lambda d, name: d.withColumn("model_id", F.lit(name))
+    three = copy(models, "m").unionByName(copy(models, "gaps")).unionByName(copy(models, "none"))
+    gaps = resp.withColumn("value", F.when(~((F.col("sample") < "s005") & (F.col("response") == "ic50")), F.col("value")))
+    rows = copy(resp, "m").unionByName(copy(gaps, "gaps")).unionByName(copy(resp, "none").withColumn("value", F.lit(None).cast("double")))
+    out = training.train(expr, rows, three, trials=M.grid_trials([3], [1e-4], [1e-3]), tuning_epochs=5, training_epochs=20, k=3)
+    assert {r.model_id: r.status for r in out["status"].collect()} == {"m": "ok", "gaps": "ok", "none": "no complete sample"}
+    assert {r.model_id for r in out["metrics"].collect()} == {"m", "gaps"}
+    used = {r.sample for r in out["model_split"].where("model_id = 'gaps'").collect()}
+    assert len(used) == N - 5 and "s000" not in used
+    holes = expr.where("NOT (sample = 's003' AND gene = 'g2')")
+    features = expr.selectExpr("'m' AS model_id", "gene").distinct()
+    assert training.prepare(holes, resp, models, features=features, strict=False)["status"].first().status == "a sample lacks a feature"
+
+
 def test_training_registry_and_resume(spark, tables, tmp_path, raw):
     expr, resp, models = tables
     out = training.train(expr, resp, models, trials=M.grid_trials([4], [1e-4], [1e-3]), tuning_epochs=30, training_epochs=200, k=3)
