@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from essenta.functions import probability as P
-from essenta.operators.order import attach, position
+from essenta.operators.order import attach, median, position
 from essenta.operators.statistics import adjust_bh
 from essenta.session import bounded_broadcast, cut
 
@@ -167,16 +167,20 @@ def moderated(df: DataFrame, trend_bins: int = 20, proportion: float = 0.01) ->
     """Moderated t, p and log odds per gene; the prior variance follows the mean expression.
 
     The trend of ``log s2`` is the mean per equal-count bin of mean expression (a spline in
-    the usual form); with fewer than 50 genes per bin there are fewer bins.
+    the usual form), in ``trend_bins`` bins or one per gene. Every gene has a row: a zero
+    variance enters the prior as 1e-5 of the median one, and a gene that lacks samples has null
+    statistics and no part in the adjustment.
     """
     # one row per gene; several fits of the prior read it
-    genes = cut(df.where(F.col("complete") & (F.col("s2") > 0)))
-    head = genes.agg(F.count(F.lit(1)).alias("n"), F.max("df").alias("df")).first()
+    every = cut(df)
+    genes = every.where(F.col("complete") & F.col("s2").isNotNull())
+    head = genes.agg(F.count(F.lit(1)).alias("n"), F.max("df").alias("df"), F.max("s2").alias("most")).first()
     n, d = int(head["n"]), float(head["df"] or 0)
-    if n == 0:
+    if n == 0 or not head["most"]:
         raise ValueError("no complete gene with a positive residual variance")
-    bins = max(1, min(trend_bins, n // 50))
-    e = F.log("s2") - digamma(d / 2) + math.log(d / 2)
+    floor = 1e-5 * (median(genes, [], "s2", "m", n).first()["m"] or head["most"])
+    bins = max(1, min(trend_bins, n))
+    e = F.log(F.greatest(F.col("s2"), F.lit(floor))) - digamma(d / 2) + math.log(d / 2)
     placed = position(genes, [], ["ave_expr", "gene"], "_pos").withColumns({
         "_bin": F.floor((F.col("_pos") - 1) * bins / n), "_e": e}).drop("_pos")
     trend = placed.groupBy("_bin").agg(
@@ -208,10 +212,11 @@ def moderated(df: DataFrame, trend_bins: int = 20, proportion: float = 0.01) ->
     t2 = F.col("t") * F.col("t")
     kernel = (1 + total) / 2 * F.log((t2 + total) / (t2 / ratio + total))
     odds = math.log(proportion / (1 - proportion))
-    return attach(out, variance).withColumn("b", odds - F.log(ratio) / 2 + kernel).drop("_v0")
+    tested = attach(out, variance).withColumn("b", odds - F.log(ratio) / 2 + kernel).drop("_v0")
+    return tested.unionByName(every.where(~(F.col("complete") & F.col("s2").isNotNull())), allowMissingColumns=True)
 
 
 def top_table(df: DataFrame, number: int | None = None) -> DataFrame:
     """Full result sorted by p with Benjamini-Hochberg adjustment, or its first rows."""
-    out = adjust_bh(df, [], "p", "p_adj").select("gene", "log_fc", "ave_expr", "t", "p", "p_adj", "b").orderBy("p", "gene")
+    out = adjust_bh(df, [], "p", "p_adj").select("gene", "log_fc", "ave_expr", "t", "p", "p_adj", "b").orderBy(F.asc_nulls_last("p"), "gene")
     return out if number is None else out.limit(number)
