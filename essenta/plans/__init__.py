@@ -4,7 +4,7 @@ from importlib import import_module
 
 _QUERY_MODULES = (
     "q_sources", "q_filters", "q_joins", "q_aggregates", "q_ranking", "q_topk", "q_functions",
-    "q_statistics", "q_models", "q_scores", "q_graph", "q_cells",
+    "q_statistics", "q_models", "q_exact_models", "q_scores", "q_graph", "q_cells",
 )
 
 
