@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,13 @@ def own_name(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def reads_files_only(df: DataFrame) -> bool:
+    """Whether ``df`` is files, projected and filtered: then every reading numbers its rows alike."""
+    lines = df._jdf.queryExecution().analyzed().toString().splitlines()
+    nodes = {re.sub(r"^[\s:+|-]+", "", line).split(" ")[0].split("[")[0] for line in lines}
+    return "Relation" in nodes and nodes <= {"Relation", "Project", "Filter", "SubqueryAlias", "View"}
+
+
 class Folder:
     """Tables of one run below the session's shared folder.
 
@@ -44,6 +53,11 @@ class Folder:
         (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def numbered(self, df: DataFrame, rid: str) -> DataFrame:
+        """``df`` with a row number that stays the same; rows that are not read from files are stored."""
+        out = df.withColumn(rid, F.monotonically_increasing_id())
+        return out if reads_files_only(df) else self.write(out, "numbered")
+
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")

@@ -84,7 +84,7 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "do
     """The rows of ``docs`` that stay, with all their columns (see ``exact_duplicates``)."""
     (rid,) = own_name(docs, "rid")
     folder = Folder(docs.sparkSession, "exact")
-    numbered = folder.write(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    numbered = folder.numbered(docs, rid)
     rows = numbered.select(
         F.col(rid).alias("rid"), F.col(doc_id).alias("doc_id"),
         F.encode(ascii_lower(F.coalesce(F.col(text), F.lit(""))), "UTF-8").alias("b"),

@@ -86,9 +86,11 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     costs = kn.dense_costs(*trusted_model(docs, trusted, folder, text, doc_id))
     symbols, perplexity, score, bound, accepted, centre, low = own_name(
         docs, "n_symbols", "perplexity", "score", "bound", "accepted", "centre", "low")
-    scored = folder.write(with_costs(docs, costs, text, symbols, perplexity), "scored")
-    plain = scored.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("language"), F.col(symbols).alias("symbols"), F.col(perplexity).alias("cost"))
+    # scored twice: once as a slim table for the bounds, once with all columns on the way out, so no text is stored
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("language"), F.col(text).alias("text"))
+    plain = folder.write(with_costs(slim, costs, "text", "symbols", "cost").drop("text"), "scored")
     bounds = bounds_of(plain, trusted, folder)
+    scored = with_costs(docs, costs, text, symbols, perplexity)
     out = kn.with_bounds(scored, bounds, lang, (centre, low, bound))
     out = out.withColumn(score, shrunk(symbols, perplexity, centre, PRIOR))
     fine = F.col(perplexity).isNotNull() & F.coalesce(F.col(score) <= F.col(bound), F.lit(True))

@@ -289,7 +289,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
                          radius: int = RADIUS) -> DataFrame:
     """One row of each component, with all its columns (see ``near_duplicates``)."""
     (rid,) = own_name(docs, "rid")
-    numbered = Folder(docs.sparkSession, "simhash").write(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    numbered = Folder(docs.sparkSession, "simhash").numbered(docs, rid)
     rows = numbered.select(F.col(rid).alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     gone = near_duplicates(rows, shingle=shingle, radius=radius).where("rid <> keep_rid").select(F.col("rid").alias(rid))
     return numbered.join(gone, rid, "left_anti").select(*docs.columns)

@@ -164,9 +164,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     give no rows.
     """
     folder = Folder(docs.sparkSession, "suffixes")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if not docs.inputFiles():  # row numbers follow the files; what is not in files is stored first
-        rows = folder.write(rows, "rows")
+    rows = folder.numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "rid")
     suffixes = folder.write(rows.select("rid", "text").mapInArrow(
         _suffixes, "rid long, pos int, near long, around long, before byte, after byte"), "suffixes")
     key = ["near", "around", "rid", "pos"]
