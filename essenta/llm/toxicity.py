@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from essenta.llm.common import Folder
 
 FIT_ROWS, LEXICON, THRESHOLD = 50_000, 20_000, 0.3
-LEAST_GAIN, ROUNDS, SKETCH = 24.0, 60, 4
+LEAST_GAIN, ROUNDS, SKETCH = 14.0, 60, 4
 LABEL_ACCURACY = 0.99  # prior of the label model; it weighs as much as the data
 PREFIXES = (3, 4, 5, 6, 7, 8)
 TIERS = (0.95, 0.85, 0.7)  # smoothed precision of the keys of a lexicon part
