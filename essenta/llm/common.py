@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from essenta.session import scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Row numbers have room for 2**23 files of 2**40 rows.
+FILE_BITS = 40
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,10 +34,23 @@ def own_name(df: DataFrame, *names: str) -> list[str]:
 
 
 def reads_files_only(df: DataFrame) -> bool:
-    """Whether ``df`` is files, projected and filtered: then every reading numbers its rows alike."""
-    lines = df._jdf.queryExecution().analyzed().toString().splitlines()
-    nodes = {re.sub(r"^[\s:+|-]+", "", line).split(" ")[0].split("[")[0] for line in lines}
-    return "Relation" in nodes and nodes <= {"Relation", "Project", "Filter", "SubqueryAlias", "View"}
+    """Whether ``df`` is one set of Parquet files, projected and filtered without chance.
+
+    Then the file and the place in it name a row, however the files are split into tasks.
+    Files that are listed twice would repeat these names.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    lines = plan.toString().splitlines()
+    nodes = [re.sub(r"^[\s:+|-]+", "", line).split(" ")[0].split("[")[0] for line in lines]
+    if nodes.count("Relation") != 1 or not set(nodes) <= {"Relation", "Project", "Filter", "SubqueryAlias"}:
+        return False
+    if not lines[-1].rstrip().endswith(" parquet") or not plan.deterministic() or "_metadata" in [c.lower() for c in df.columns]:
+        return False
+    leaf = plan
+    while leaf.children().size():
+        leaf = leaf.children().head()
+    files = list(leaf.relation().location().inputFiles())
+    return len(files) == len(set(files))
 
 
 class Folder:
@@ -54,9 +69,22 @@ class Folder:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def numbered(self, df: DataFrame, rid: str) -> DataFrame:
-        """``df`` with a row number that stays the same; rows that are not read from files are stored."""
-        out = df.withColumn(rid, F.monotonically_increasing_id())
-        return out if reads_files_only(df) else self.write(out, "numbered")
+        """``df`` with a row number that stays the same in every reading, whatever the executors.
+
+        For files it is the file's number and the row's place in the file; task and split numbers
+        (``monotonically_increasing_id``) follow the cores of the moment. Other rows are stored.
+        """
+        if not reads_files_only(df):
+            return self.write(df.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+        (place,) = own_name(df, "place")
+        rows = df.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(place))
+        # one row per file of a list that the driver has read already
+        paths = sorted(r[0] for r in rows.select(f"{place}.file_path").distinct().collect())
+        known = self.spark.createDataFrame([(p, k << FILE_BITS) for k, p in enumerate(paths)], "file_path string, first long")
+        file, first = own_name(rows, "file", "first")
+        known = F.broadcast(known.select(F.col("file_path").alias(file), F.col("first").alias(first)))
+        joined = rows.join(known, F.col(f"{place}.file_path") == F.col(file))
+        return joined.select(*df.columns, (F.col(first) + F.col(f"{place}.row_index")).alias(rid))
 
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
