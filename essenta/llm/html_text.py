@@ -3,7 +3,7 @@
 A tree builder turns tags into elements, adding the end tags that HTML implies (a new ``li``
 ends the last one, a block ends an open ``p``, table parts end each other) and skipping end
 tags that close nothing. Visibility rules drop elements that are never shown, hidden by
-attribute, by their own style, or by a plain rule of the page's style sheets. The renderer
+attribute, by their own style, or by the plain rules of the page's style sheets for screens. The renderer
 walks the tree with a stack of its own, so depth is no limit, and emits all remaining text:
 white space collapsed except in ``pre``, blocks on lines of their own, a blank line around
 paragraphs and the like, list items indented with their marks, table cells padded to columns.
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Fixed values of HTML: kinds of elements.
-VOID = set("area base br col embed hr img input link meta source track wbr".split())
-NEVER = set("script style template noscript head title meta link datalist param object iframe audio video canvas svg math select textarea".split())
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+NEVER = set("script style template noscript head title meta link datalist param iframe audio video canvas select textarea annotation annotation-xml".split())
 BLOCK = set("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul
     caption thead tbody tfoot tr td th""".split())
@@ -35,8 +35,11 @@ IMPLIED = {
 }
 SCOPE = {"table", "td", "th", "caption", "html", "body"}
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+# inside a drawing only these show their text, unless one of the others is around them
+DRAWN, UNDRAWN = {"text", "foreignobject"}, set("defs symbol clippath mask pattern marker desc metadata".split())
+_QUOTED = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
+_PLAIN = re.compile(r"[.#]?[\w-]+")
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
 
 
 class Element:
@@ -52,7 +55,8 @@ class TreeBuilder(HTMLParser):
         self.root = Element("html", {})
         self.open = [self.root]
         self.title: list[str] = []
-        self.styles: list[str] = []
+        self.styles: list[Element] = []
+        self.drawings = False
 
     def parse_html_declaration(self, i: int) -> int:
         if self.rawdata.startswith("<!--", i):
@@ -85,12 +89,24 @@ class TreeBuilder(HTMLParser):
         if self.open[-1].tag == "head" and tag not in NEVER and tag not in VOID:
             self.open.pop()
         element = Element(tag, dict(reversed(attrs)))  # the first of repeated attributes counts
-        self.open[-1].children.append(element)
+        apart = tag == "svg" or (tag == "text" and self._inside("svg") is not None)  # placed, not part of the line
+        self.open[-1].children += [" ", element, " "] if apart else [element]
+        if tag == "style":
+            self.styles.append(element)
+        elif tag in ("svg", "math"):
+            self.drawings = True
         if tag not in VOID:
             self.open.append(element)
 
+    def _inside(self, name: str) -> list[str] | None:
+        """Tags that are open within the nearest open ``name``, None without one."""
+        tags = [e.tag for e in self.open] if self.drawings else []
+        return tags[len(tags) - tags[::-1].index(name):] if name in tags else None
+
     def handle_startendtag(self, tag: str, attrs) -> None:
-        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
+        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML, but ends elements of drawings and formulas
+        if tag not in VOID and self.open[-1].tag == tag and (tag in ("svg", "math") or self._inside("svg") is not None or self._inside("math") is not None):
+            self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -106,8 +122,11 @@ class TreeBuilder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         tag = self.open[-1].tag
+        drawn = self._inside("svg")
         if tag == "style":
-            self.styles.append(data)
+            self.open[-1].children.append(data)
+        elif drawn is not None and (DRAWN.isdisjoint(drawn) or not UNDRAWN.isdisjoint(drawn)):
+            self.open[-1].children.append(" ")
         elif tag == "title" and len(self.open) < 4:
             self.title.append(data)
         else:
@@ -116,23 +135,71 @@ class TreeBuilder(HTMLParser):
             self.open[-1].children.append(data)
 
 
-def hidden_selectors(styles: list[str]) -> set[str]:
-    """Plain selectors (a tag, a class, an id) that a style sheet hides."""
-    out = set()
-    for sheet in styles:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if _HIDES.search(body):
-                out.update(s.strip() for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip()))
+def for_screen(media: str) -> bool:
+    """Whether a media list holds for any screen; a list with further conditions does not."""
+    return any(re.sub(r"^only\s+", "", m.strip().lower()) in ("", "all", "screen") for m in media.split(","))
+
+
+def declared(body: str) -> dict[str, tuple[bool, bool]]:
+    """``property: (important, hides)`` of ``display`` and ``visibility`` in a list of declarations."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for name, value, important in _DECLARED.findall(body):
+        rule = bool(important), value.lower() in (("none",) if name.lower() == "display" else ("hidden", "collapse"))
+        if rule[0] >= out.get(name.lower(), rule)[0]:
+            out[name.lower()] = rule
     return out
 
 
-def is_hidden(e: Element, selectors: set[str]) -> bool:
+def sheet_rules(styles: list[Element]) -> dict[str, dict]:
+    """``selector: property: (important, place, hides)`` for the plain selectors (a tag, a class, an id) of all sheets.
+
+    Blocks of at-rules count only where they hold for every screen; of rules for the same
+    selector the last important one wins, else the last one.
+    """
+    out: dict[str, dict] = {}
+    place = 0
+    for style in styles:
+        if not for_screen(style.attrs.get("media") or ""):
+            continue
+        sheet = _QUOTED.sub(" ", "".join(x for x in style.children if isinstance(x, str)))
+        counted, rule, at = [True], None, 0  # for each open block: does it count; the open rule
+        for mark in re.finditer(r"[{};]", sheet):
+            text, kind, at = sheet[at:mark.start()].strip(), mark[0], mark.end()
+            if rule is not None:  # nested rules are of selectors that are not plain
+                depth += (kind == "{") - (kind == "}")
+                if depth == 0 or (depth == 1 and kind == ";"):
+                    body.append(text)
+                if depth == 0:
+                    found = declared(";".join(body)) if counted[-1] else {}
+                    place += 1
+                    for s in {s.strip() for s in rule.split(",")} if found else ():
+                        if _PLAIN.fullmatch(s):
+                            mine = out.setdefault(s if s[0] in ".#" else s.lower(), {})
+                            for name, (important, hides) in found.items():
+                                mine[name] = max(mine.get(name, (False, -1, False)), (important, place, hides))
+                    rule = None
+            elif kind == "{" and text.startswith("@"):
+                name, _, media = text[1:].partition(" ")
+                counted.append(counted[-1] and (name.lower() == "layer" or (name.lower() == "media" and for_screen(media))))
+            elif kind == "{":
+                rule, depth, body = text, 1, []
+            elif kind == "}" and len(counted) > 1:
+                counted.pop()
+    return out
+
+
+def is_hidden(e: Element, rules: dict[str, dict]) -> bool:
     a = e.attrs
-    if e.tag in NEVER or "hidden" in a or (e.tag == "dialog" and "open" not in a) or _HIDES.search(a.get("style") or ""):
+    if e.tag in NEVER or "hidden" in a or (e.tag == "dialog" and "open" not in a):
         return True
-    if selectors:
-        return e.tag in selectors or f"#{a.get('id')}" in selectors or any(f".{c}" in selectors for c in (a.get("class") or "").split())
-    return False
+    # (important, how exact the selector is, place, hides); the element's own style is the most exact
+    found = {name: (important, 3, 0, hides) for name, (important, hides) in declared(a.get("style") or "").items()}
+    if rules:
+        names = [(0, e.tag), *((1, f".{c}") for c in (a.get("class") or "").split()), (2, f"#{a.get('id')}")]
+        for exact, selector in names:
+            for name, (important, place, hides) in rules.get(selector, {}).items():
+                found[name] = max(found.get(name, (False, -1, 0, False)), (important, exact, place, hides))
+    return any(x[-1] for x in found.values())
 
 
 class Page:
@@ -204,7 +271,7 @@ def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     return out
 
 
-def render(root: Element, selectors: set[str]) -> str:
+def render(root: Element, rules: dict[str, dict]) -> str:
     """The visible text of a tree."""
     page = Page()
     pages, tables, lists = [], [], []
@@ -217,13 +284,16 @@ def render(root: Element, selectors: set[str]) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if is_hidden(node, selectors) or (tag == "input" and (node.attrs.get("type") or "").lower() == "hidden"):
+            if is_hidden(node, rules) or (tag == "input" and (node.attrs.get("type") or "").lower() == "hidden"):
                 continue
             if tag == "br":
                 page.line(True)
                 continue
             if tag == "img":
                 continue
+            if tag == "input" and (node.attrs.get("type") or "").lower() in ("submit", "reset", "button"):
+                page.text(node.attrs.get("value") or "", False)
+                continue
             if tag in ("td", "th", "caption") and tables:
                 pages.append((page, pre))
                 page, pre = Page(), 0
@@ -289,7 +359,7 @@ def extract(html: str | None) -> tuple[str, str]:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return _SPACE.sub(" ", "".join(builder.title)).strip(), render(builder.root, hidden_selectors(builder.styles))
+    return _SPACE.sub(" ", "".join(builder.title)).strip(), render(builder.root, sheet_rules(builder.styles))
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:

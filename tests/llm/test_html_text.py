@@ -55,3 +55,23 @@ def test_odd_rows(spark):
     got = extract_text(docs)
     assert got.columns == ["page_id", "rest", "title", "text"] and got.count() == 5
     assert extract_text(docs.limit(0)).collect() == []
+
+
+SHOWN = {
+    "<style>@media print{.nav,p{display:none}} @media (max-width:600px){.s{display:none}}</style><p class=nav>a</p><b class=s>b</b>": "a\n\nb",
+    "<style media=print>p{display:none}</style><style media='screen'>b{display:none}</style><p>a</p><b>n</b>": "a",
+    "<style>@media screen{.x{display:none}} @import 'a;b{'; .y{display:none}</style><b class=x>n</b><b class=y>n</b>a": "a",
+    "<style>.x{display:none} .x{display:block} .y{display:none!important} .y{display:block}</style><b class=x>a</b><b class=y>n</b>": "a",
+    "<style>p{display:none} #k{display:block} @supports (a:b){b{display:none}}</style><p>n</p><p id=k>a</p><b>b</b>": "a\n\nb",
+    "<style>.x{visibility:hidden} .x{display:block}</style><b class=x>n</b><b class=x style='visibility:visible'>a</b>": "a",
+    "<style>.x{content:'}';display:none;color:red}</style><b class=x>n</b>a": "a",
+    "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=t>n</annotation></math>": "x=1",
+    "a<svg><title>n</title><defs><text>n</text></defs><path d=n style='display:none'/><g><text>b</text><text>c</text></g></svg>d": "a b c d",
+    "<object data=x><param name=n value=n>a</object>": "a",
+    "<input type=submit value=Send><input type=hidden value=n><input type=button hidden value=n>": "Send",
+}
+
+
+@pytest.mark.parametrize("html", SHOWN)
+def test_shown_on_screens(html):
+    assert extract(html)[1] == SHOWN[html]
