@@ -18,6 +18,8 @@ them is safe at any input size.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -207,8 +209,12 @@ def quantiles(
         return df.groupBy(*keys).agg(all_at_once.alias("_q")).select(
             *keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
     picked = pick_quantiles(value_counts(df, keys, value, largest), keys, value, probs)
-    # groups without a value have a row of nulls, as above
-    return df.select(*keys).distinct().join(picked, list(keys), "left") if keys else picked
+    if not keys:
+        return picked
+    # groups without a value have a row of nulls, as above; a null key is a group too
+    groups = df.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).distinct()
+    same = reduce(and_, [F.col(f"_key{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)])
+    return groups.join(picked, same, "left").select(*[F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)], *probs)
 
 
 def pick_quantiles(counted: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

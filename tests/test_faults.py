@@ -29,6 +29,13 @@ def test_groups_without_a_value_keep_their_rows(spark, split):
     assert E.robust_scale(df, "v", ["g"]).count() == 92
 
 
+def test_null_keys_have_quantiles(spark, split):
+    rows = [("a", None, float(k)) for k in range(90)] + [(None, 1, float(k)) for k in range(60)] + [(None, None, 7.0), (None, 2, None)]
+    df = spark.createDataFrame(rows, "g string, h int, v double")
+    got = {(r.g, r.h): r.m for r in quantiles(df, ["g", "h"], "v", {"m": 0.5}).collect()}
+    assert got == {("a", None): 44.5, (None, 1): 29.5, (None, None): 7.0, (None, 2): None}
+
+
 def test_two_rows_have_no_p(spark):
     rows = [(g, 0.1 * g + k / 3, 0.7 * g * k + 0.1) for g in range(200) for k in range(2)] + [(999, 1.0, 2.0)]
     got = H.correlation_test(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "x", "y").collect()
