@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from essenta.llm import exact_dedup, html_text, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, warc
+from essenta.llm import (
+    exact_dedup, html_text, mixing, packing, periodic_runs, pii, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, warc)
 from essenta.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +96,27 @@ def op10(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def planted_period(doc_id, words: list[str]) -> list[str]:
+    """The words with a repeated stretch planted in a tenth of the documents, by a hash of the id."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g = h // 10
+    a = g % len(words)
+    block = words[a:a + 1 + (len(words) - a) // (3 + g % 8)]
+    return (words[:a] + block * (1 + (len(words) - a) // len(block)))[:len(words)]
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    return periodic_runs.report(periodic_runs.collapse_runs(table(spark, sf_dir, "documents"), planted_period))
+
+
+@query("op12_pii_spans")
+def op12(spark, sf_dir):
+    return pii.report(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
