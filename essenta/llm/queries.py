@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from essenta.llm import (
-    exact_dedup, html_text, mixing, packing, periodic_runs, pii, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, warc)
+    exact_dedup, html_text, mixing, packing, periodic_runs, pii, quality_classifier, quality_rules, simhash, spelling, suffix_dedup,
+    toxicity, warc)
 from essenta.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +118,11 @@ def op12(spark, sf_dir):
     return pii.report(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), spelling.dropped_letter)
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
