@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+# starts with a digit that follows none, in the order that lets the search skip to digits
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SPANS = "array<struct<kind: string, start: long, end: long, base: boolean, value: string>>"
@@ -43,14 +44,14 @@ LOOK_ALIKES = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ",
     "T": "ТΤ", "X": "ХΧ", "Y": "ΥҮ", "Z": "Ζ", "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іι", "j": "јϳ", "k": "к",
     "m": "м", "n": "ո", "o": "оο", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "υ", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уү",
-    "-": "‐‑‒–—―−", ".": "。․", " ": "    "}
+    "-": "‐‑‒–—―−", ".": "。․", " ": "      　"}
 UNSEEN = "­​‌‍⁠﻿"
 
 
 def _single_signs() -> dict[int, str]:
     """Look-alikes, and every character whose compatibility form or decimal value is one ASCII character."""
     out = {ord(c): sign for sign, like in LOOK_ALIKES.items() for c in like}
-    for code in range(0xA0, 0x1FBFA):
+    for code in range(0x180, 0x1FBFA):
         c = chr(code)
         plain = unicodedata.normalize("NFKC", c) if not 0xAC00 <= code <= 0xD7FF else c
         digit = unicodedata.decimal(c, None)
@@ -96,9 +97,13 @@ _MIXED = re.compile(
     r"(?<![A-Za-z0-9])(?=[OoIl]*[0-9]|[OoIl](?:[ .-][OoIl]){0,9}[ .-][0-9])[0-9OoIl]+(?![A-Za-z0-9])"
     r"|(?<=[0-9][ .-])[OoIl]{2,}(?![A-Za-z0-9])|(?<=[0-9][.])[OoIl](?=[.][0-9OoIl]|(?![A-Za-z0-9.]))")
 _LETTER_DIGITS = str.maketrans("OoIl", "0011")
-_ODD_SIGN = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(SINGLE)) + UNSEEN + "]")
+# a superset of all signs to rewrite, in one range
+_MAYBE_ODD = re.compile("[\u00a0\u00ad\u0180-\U0010ffff]")
+_ODD = frozenset(map(chr, SINGLE)) | frozenset(UNSEEN)
 _BRACKET_HINT = re.compile(rf"[(\[{{<]\s?(?:@|[.]|{_any(AT_WORDS + DOT_WORDS)})\s?[)\]}}>]", re.I)
-_LETTER_HINT = re.compile(r"[0-9][ .-]?[OoIl]|(?<![A-Za-z])[OoIl][ .-]?[0-9]")
+_LETTER_HINT = re.compile(r"[0-9](?:[ .-]?[OoIl]|(?<=[OoIl][0-9])|(?<=[OoIl][ .-][0-9]))")
+_TOKEN_ENDS = "-,_().;:"
+_DIGIT_TOKENS = frozenset(_DIGIT) | frozenset("0123456789")
 
 
 def luhn(digits: str) -> bool:
@@ -178,7 +183,7 @@ def _within(tape: Tape, outer: re.Pattern, inner: re.Pattern, put: str) -> None:
 
 
 def look_alikes(tape: Tape) -> None:
-    tape.each(_ODD_SIGN, lambda m: SINGLE.get(ord(m.group()), ""))
+    tape.rewrite([(m.start(), m.end(), SINGLE.get(ord(m.group()), "")) for m in _MAYBE_ODD.finditer(tape.text) if m.group() in _ODD])
 
 
 def spelled_digits(tape: Tape) -> None:
@@ -205,13 +210,21 @@ TRANSDUCERS = (look_alikes, spelled_digits, letter_digits, at_and_dot)
 
 def disguised(text: str) -> bool:
     """Whether any transducer could change ``text`` (a cheap look; it may say yes in vain)."""
-    if not text.isascii() and _ODD_SIGN.search(text):
+    if not text.isascii() and any(m.group() in _ODD for m in _MAYBE_ODD.finditer(text)):
+        return True
+    if _BRACKET_HINT.search(text) or " @" in text or "@ " in text or _LETTER_HINT.search(text):
         return True
     low = text.lower()
-    if any(w in low for w in DOT_WORDS) and _DOT.search(text):
+    for sign in _TOKEN_ENDS:
+        low = low.replace(sign, " ")
+    tokens = low.split()
+    seen = set(tokens)
+    if not seen.isdisjoint(DOT_WORDS) and _DOT.search(text):
+        return True
+    if not seen.isdisjoint(("plus", "más", "mas")) and _PLUS.search(text):
         return True
-    return bool(_BRACKET_HINT.search(text) or " @" in text or "@ " in text or _LETTER_HINT.search(text) or _NUMBER.search(text) or (
-        ("plus" in low or "mas" in low or "más" in low) and _PLUS.search(text)))
+    return not seen.isdisjoint(_DIGIT) and any(
+        a in _DIGIT_TOKENS and b in _DIGIT_TOKENS for a, b in zip(tokens, tokens[1:])) and bool(_NUMBER.search(text))
 
 
 def find_spans(text: str | None) -> list[tuple[int, int, int, bool, str]]:
