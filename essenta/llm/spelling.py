@@ -5,8 +5,8 @@ from the composition ``vocabulary o one edit o vocabulary`` of minimised accepto
 composition is partitioned by the state in which the edit zone begins and the state in which it ends:
 two near words agree before and behind their edit, so a partition holds the words of one length (and
 of one more) with the same code points outside a zone, and its machine reads the zones only. At
-first the zone is the whole word; a partition of more than ``LIMIT`` words is split into two, with
-the edit in the first or the second half of the zone, again and again. A zone of one code point bounds
+first the zone is the first or the second half of the word; a partition of more than ``LIMIT`` words
+is split into two, with the edit in the first or the second half of its zone, again and again. A zone of one code point bounds
 a partition by the alphabet, so no partition grows without end and none is cut off. The edit's
 place is the first one where the words differ, so each pair comes from one partition, once.
 """
@@ -202,7 +202,7 @@ def near_pairs(words: DataFrame, limit: int = LIMIT) -> DataFrame:
     size = F.length("word")
     rows = words.select("n", F.col("word").alias("zone"), F.explode(F.array(size, size - 1)).alias("size")).where("size > 0").select(
         "size", F.lit(0).alias("low"), F.col("size").alias("high"), F.lit("").alias("head"), F.lit("").alias("tail"), "zone", "n")
-    ready, level = None, 0
+    rows, ready, level = _zones(rows), None, 0
     while True:
         rows = folder.write(rows, f"level{level}")
         sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows"))
