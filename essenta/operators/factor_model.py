@@ -395,17 +395,23 @@ def _run(jobs: DataFrame) -> DataFrame:
 
 
 def search(
-    table: DataFrame, weights: DataFrame, models: DataFrame, trials: Column, epochs: int = 500, per_task: int = 10
+    table: DataFrame, weights: DataFrame, models: DataFrame, trials: Column, epochs: int = 500, per_task: int = 10,
+    done: DataFrame | None = None,
 ) -> DataFrame:
     """Fit every trial on every fold: one loss row per (model, trial, fold).
 
     The training table of a fold is the total minus the fold. Trials travel in chunks so a
-    matrix is shipped once per chunk.
+    matrix is shipped once per chunk. Fits in ``done (model_id, trial, fold)`` are left out.
     """
     folds = table.where("fold >= 0").join(_totals(table), "model_id")
     jobs = _with_weights(folds, weights).join(models.select("model_id", "seed"), "model_id").withColumns({
         "a_train": _zip("total", "a", -1), "a_val": F.col("a"), "epochs": F.lit(epochs), "keep": F.lit(False),
         "_all": trials})
+    if done is not None:  # at most one entry per trial and fold of a model
+        lists = done.groupBy("model_id", "fold").agg(F.collect_set("trial").alias("_done"))
+        jobs = jobs.join(lists, ["model_id", "fold"], "left").withColumn(
+            "_all", F.filter("_all", lambda t: ~F.array_contains(F.coalesce("_done", F.array().cast("array<int>")), t["trial"])))
+        jobs = jobs.where("size(_all) > 0").drop("_done")
     chunks = F.sequence(F.lit(0), F.ceil(F.size("_all") / F.lit(per_task)).cast("int") - 1)
     jobs = jobs.withColumn("chunk", F.explode(chunks)).withColumn(
         "trials", F.slice("_all", F.col("chunk") * per_task + 1, F.lit(per_task)))

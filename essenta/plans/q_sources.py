@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from essenta.operators.joins import product
+from essenta.operators.order import attach
 from essenta.operators.ranking import first_row
 from essenta.plans.catalog import SEEDS, R, query, r, with_
 from essenta.session import scratch_path
@@ -82,25 +83,55 @@ def _(t):
     return tables.read_delimited(t.spark, path, "plate STRING, n BIGINT, top DOUBLE", ",")
 
 
-@query("a9_registry", with_("expr", """
+SCORES = with_("expr", """
 w AS (SELECT gene, avg(value) AS mean, stddev_samp(value) AS sd FROM expr GROUP BY gene)""") + f"""
-SELECT e.sample, {R('sum((e.value - w.mean) / w.sd)')} AS score FROM expr e JOIN w USING (gene) GROUP BY 1""")
-def _(t):
-    expr = t.expression()
-    path = scratch_path(t.spark, "models")
-    registry.save_models({
-        "model": t.spark.sql("SELECT 'm' AS model_id, 'd' AS drug, 'f0' AS target, 42L AS seed"),
-        "model_weight": expr.groupBy("gene").agg(
+SELECT e.sample, {R('sum((e.value - w.mean) / w.sd)')} AS score FROM expr e JOIN w USING (gene) GROUP BY 1"""
+
+
+def _model_tables(t, rows, model_id="m"):
+    return {
+        "model": t.spark.sql(f"SELECT '{model_id}' AS model_id, 'd' AS drug, 'f0' AS target, 42L AS seed"),
+        "model_weight": rows.groupBy("gene").agg(
             F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).select(
-            F.lit("m").alias("model_id"), "gene", F.array(F.lit(1.0)).alias("w"), "mean", "sd"),
-    }, path)
-    saved = registry.load_models(t.spark, path)
-    weights = saved["model_weight"].select("gene", "mean", "sd", F.col("w")[0].alias("weight"))
-    rows = expr.join(F.broadcast(weights.select("gene", "mean", "sd")), "gene").withColumn(
+            F.lit(model_id).alias("model_id"), "gene", F.array(F.lit(1.0)).alias("w"), "mean", "sd"),
+    }
+
+
+def _stored_scores(t, path):
+    weights = registry.load_models(t.spark, path)["model_weight"].select("gene", "mean", "sd", F.col("w")[0].alias("weight"))
+    rows = t.expression().join(weights.select("gene", "mean", "sd"), "gene").withColumn(
         "value", (F.col("value") - F.col("mean")) / F.col("sd"))
     return product(rows, weights.select("gene", "weight"), ["sample"]).select("sample", r("score").alias("score"))
 
 
+@query("a9_registry", SCORES)
+def _(t):
+    path = scratch_path(t.spark, "models")
+    registry.save_models(_model_tables(t, t.expression()), path)
+    return _stored_scores(t, path)
+
+
+def _failing_save(t, path, tables):
+    """A save whose ``model`` table cannot be written, after the others were."""
+    broken = tables["model"].withColumn("drug", F.raise_error(F.concat(F.lit("lost "), "drug")).cast("string"))
+    try:
+        registry.save_models({**tables, "model": broken}, path)
+    except Exception as err:
+        if "lost d" not in str(err):
+            raise
+        return
+    raise AssertionError("the save went through")
+
+
+@query("a9_failed_save", SCORES)
+def _(t):
+    path = scratch_path(t.spark, "models")
+    registry.save_models(_model_tables(t, t.expression()), path)
+    # the second state of the model, which never becomes visible
+    _failing_save(t, path, _model_tables(t, t.expression().withColumn("value", F.col("value") * 2 + 1)))
+    return _stored_scores(t, path)
+
+
 @query("a10_experiments", """
 SELECT o_orderpriority AS drug, CAST(o_custkey AS VARCHAR) AS cell_id, max(o_totalprice) AS value
 FROM orders GROUP BY 1, 2 HAVING max(o_totalprice) >= 100000""")
@@ -152,3 +183,40 @@ def _(t):
     done = first_row(t.drug_targets().join(fitted, "drug").withColumn("seed", F.lit(42).cast("long")),
                      ["drug", "target", "seed"], F.col("drug"))
     return registry.still_to_fit(grid, done, ["drug", "target", "seed"])
+
+
+@query("a11_failed_save", """
+SELECT p_brand AS drug FROM part GROUP BY 1 HAVING NOT bool_or(p_retailprice > 1000)""")
+def _(t):
+    path = scratch_path(t.spark, "models")
+    brands = t.part.groupBy(F.col("p_brand").alias("drug")).agg(F.bool_or(F.col("p_retailprice") > 1000).alias("good"))
+    model = brands.select(F.col("drug").alias("model_id"), "drug", F.lit("f0").alias("target"), F.lit(42).cast("long").alias("seed"), "good")
+    registry.save_models({"model": model.where("good")}, path)
+    rest = model.where("NOT good")
+    _failing_save(t, path, {"model": rest.select("model_id", F.lit("d").alias("drug"), "target", "seed"), "model_split": rest.select("model_id")})
+    return registry.still_to_fit(brands, registry.load_models(t.spark, path)["model"], ["drug"]).select("drug")
+
+
+@query("a11_search_resumed", """
+SELECT model_id, CAST(fold AS INTEGER) AS fold, CAST(trial AS INTEGER) AS trial, CASE WHEN trial < 3 OR trial = 3 AND fold < 2 THEN 'first' ELSE 'second' END AS run
+FROM (SELECT DISTINCT o_orderpriority AS model_id FROM orders), (SELECT unnest(range(5)) AS fold), (SELECT unnest(range(8)) AS trial)""")
+def _(t):
+    from essenta.operators import factor_model as M
+    from essenta.plans import training
+
+    path = scratch_path(t.spark, "losses")
+    drugs = t.orders.select(F.col("o_orderpriority").alias("model_id")).distinct()
+    names = drugs.agg(F.collect_list("model_id").alias("n"))  # five order priorities
+    responses = attach(t.responses(), names).select(F.explode("n").alias("model_id"), "response", "sample", "value")
+    models = drugs.select("model_id", F.lit("f0").alias("target"), F.lit(42).alias("seed"))
+    ready = training.prepare(t.expression(), responses, models, k=3)
+    weights = M.response_weights(ready["centred"])
+    trials = M.random_trials(8, 20357)
+
+    def run(label):
+        return lambda part, done: M.search(ready["moments"], weights, models, part, epochs=5, done=done).withColumn("run", F.lit(label))
+
+    # the first run is killed after three trials and two folds of the fourth
+    first = run("first")(F.slice(trials, 1, 4), None)
+    registry.save_losses(first.where("trial < 3 OR fold < 2"), path)
+    return registry.resume_search(t.spark, path, trials, run("second"), every=3).select("model_id", "fold", "trial", "run")

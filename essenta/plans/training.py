@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from essenta.operators import factor_model as M
 from essenta.operators import scores as S
 from essenta.session import cut
+from essenta.sources.registry import resume_search
 
 
 def complete_cases(responses: DataFrame) -> DataFrame:
@@ -61,18 +62,24 @@ def prepare(
 def train(
     expression: DataFrame, responses: DataFrame, models: DataFrame, trials: Column | None = None,
     n_trials: int = 100, tuning_epochs: int = 500, training_epochs: int = 1000, trial_seed: int = 20357,
-    absolute: bool = False, **options,
+    absolute: bool = False, losses: str | None = None, **options,
 ) -> dict[str, DataFrame]:
     """Search, final fit and hold-out metrics for every model of the grid.
 
     Returns the registry tables plus ``trials`` (loss rows), ``metrics`` and ``status``: a
-    model that cannot be fitted has its reason there and ends no other one.
+    model that cannot be fitted has its reason there and ends no other one. ``losses`` is a registry
+    path for the losses of the search: a batch that was killed goes on with the trials that are left.
     """
     ready = prepare(expression, responses, models, **{"strict": False, **options})
     models = ready["models"]
     weights = M.response_weights(ready["centred"])
     plan = trials if trials is not None else M.random_trials(n_trials, trial_seed)
-    fits = cut(M.search(ready["moments"], weights, models, plan, tuning_epochs))
+    if losses is None:
+        fits = cut(M.search(ready["moments"], weights, models, plan, tuning_epochs))
+    else:
+        stored = resume_search(expression.sparkSession, losses, plan, lambda part, done: M.search(
+            ready["moments"], weights, models, part, tuning_epochs, done=done))
+        fits = cut(stored.join(models.select("model_id"), "model_id", "left_semi"))
     best = M.best_trials(M.trial_losses(fits), absolute)
     final = cut(M.fit_final(ready["moments"], weights, models, best, training_epochs))
     out = M.model_tables(final, ready["moments"], ready["stats"], ready["centred"], models, ready["split"])
