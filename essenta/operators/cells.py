@@ -224,9 +224,10 @@ def nearest(z: DataFrame, k: int = 20, cell: int = _LEAF_ROWS, seed: int = 0) ->
 
     Exact at every size. Samples belong to the cell of their nearest pivot (a hash sample of
     at most ``_PIVOTS``), cells are dealt into blocks of about ``cell`` rows. The k-th distance
-    inside the own block bounds the search; a block is asked only if the triangle inequality
-    with its pivot and radius does not rule it out. A task compares one block with a bounded
-    chunk of queries and returns k rows per query. Ties go by name.
+    inside the own block bounds the search; another block is asked only if the triangle inequality
+    with its pivot and radius does not rule it out. A block is sent to as many tasks as its asks
+    fill, so shipped rows grow with the asks; a task compares it with a bounded chunk of queries
+    and returns k rows per query. Ties go by name.
     """
     z = cut(z.select("sample", "z"))
     kind = z.schema["sample"].dataType.simpleString()
@@ -246,18 +247,23 @@ def nearest(z: DataFrame, k: int = 20, cell: int = _LEAF_ROWS, seed: int = 0) ->
     found = {r["cell"]: (r["radius"], -(-r["n"] // cell)) for r in placed.groupBy("cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
     radius = np.array([found.get(c, (-np.inf, 0))[0] for c in range(count)])
     blocks = np.array([found.get(c, (0, 0))[1] for c in range(count)], dtype=int)
-    chunks = max(1, -(-n // (8 * cell)))
     many = F.element_at(F.lit(blocks.tolist()).cast("array<int>"), (F.col("cell") + 1).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("sample"), many).cast("int"))
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.vstack(pdf["z"].to_numpy())
-        best = _closest(own, pdf["sample"].to_numpy(), own, pdf["sample"].to_numpy(), k)
-        full = best.groupby("sample")["distance"].agg(["size", "max"])
-        full.loc[full["size"] < k, "max"] = np.inf
-        return pd.DataFrame({"sample": pdf["sample"], "z": pdf["z"], "most": pdf["sample"].map(full["max"]).fillna(np.inf)})
-
-    bounded = cut(placed.groupBy("cell", "block").applyInPandas(bound, f"sample {kind}, z array<double>, most double"))
+        own, names = np.vstack(pdf["z"].to_numpy()), pdf["sample"].to_numpy()
+        best = _closest(own, names, own, names, k)
+        by = {name: (list(g["neighbour"]), list(g["distance"])) for name, g in best.groupby("sample", sort=False)}
+        lists = [by.get(name, ([], [])) for name in names]
+        return pdf.assign(most=[d[-1] if len(d) == k else np.inf for _, d in lists], neighbours=[m for m, _ in lists], distances=[d for _, d in lists])[
+            ["sample", "z", "cell", "block", "most", "neighbours", "distances"]]
+
+    bounded = cut(placed.groupBy("cell", "block").applyInPandas(
+        bound, f"sample {kind}, z array<double>, cell long, block int, most double, neighbours array<{kind}>, distances array<double>"))
+    found_here = bounded.select("sample", F.explode(F.arrays_zip("neighbours", "distances")).alias("e")).select(
+        "sample", F.col("e.neighbours").alias("neighbour"), F.col("e.distances").alias("distance"))
+    if blocks.sum() == 1:  # every sample was compared with all others
+        return top_rows(found_here, ["sample"], [F.col("distance"), F.col("neighbour")], k)
 
     def ask(batches):
         for pdf in batches:
@@ -269,11 +275,17 @@ def nearest(z: DataFrame, k: int = 20, cell: int = _LEAF_ROWS, seed: int = 0) ->
             times = blocks[where]
             who, where = np.repeat(who, times), np.repeat(where, times)
             block = np.concatenate([np.arange(t) for t in times]) if len(times) else np.array([], int)
+            other = (where != pdf["cell"].to_numpy()[who]) | (block != pdf["block"].to_numpy()[who])
+            who, where, block = who[other], where[other], block[other]
             yield pd.DataFrame({"cell": where, "block": block, "sample": pdf["sample"].to_numpy()[who], "z": pdf["z"].to_numpy()[who]})
 
-    chunk = F.pmod(F.xxhash64("sample", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk")
-    queries = bounded.mapInPandas(ask, f"cell long, block int, sample {kind}, z array<double>").select("*", chunk)
-    data = placed.select("cell", "block", "sample", "z", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    asks = cut(bounded.select("sample", "z", "cell", "block", "most").mapInPandas(ask, f"cell long, block int, sample {kind}, z array<double>"))
+    # tasks by demand: one row per asked block
+    wanted = asks.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / F.lit(8 * cell)).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("sample", F.lit(1)), F.col("chunks")).cast("int").alias("chunk")
+    queries = asks.join(wanted, ["cell", "block"]).select("cell", "block", "sample", "z", chunk)
+    data = placed.join(wanted, ["cell", "block"]).select(
+        "cell", "block", "sample", "z", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
     def meet(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(stored):
@@ -282,7 +294,7 @@ def nearest(z: DataFrame, k: int = 20, cell: int = _LEAF_ROWS, seed: int = 0) ->
 
     key = ["cell", "block", "chunk"]
     pairs = queries.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(meet, f"sample {kind}, neighbour {kind}, distance double")
-    return top_rows(pairs, ["sample"], [F.col("distance"), F.col("neighbour")], k)
+    return top_rows(pairs.unionByName(found_here), ["sample"], [F.col("distance"), F.col("neighbour")], k)
 
 
 def nearest_by_trees(z: DataFrame, k: int = 20, trees: int = 8, leaf: int = _LEAF_ROWS, seed: int = 0) -> DataFrame:

@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from essenta.operators.order import attach, position, split_goal, top_rows
 from essenta.operators.topk import feature_set
-from essenta.session import cut
+from essenta.session import cut, drop_cut, scratch_path
+
+_SETS = 32  # seed sets that walk together
 
 
 def both_ways(edges: DataFrame, weight: str | None = "weight", merge: str = "min") -> DataFrame:
@@ -53,7 +55,7 @@ class HeldEdges:
         parts = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.hubs = None
         if goal is None:
-            self.table = moves.repartition(parts, "src").persist()
+            self.table = moves.repartition(parts, "src").sortWithinPartitions("src").persist()
         else:
             hubs = moves.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > goal)
             self.hubs = cut(hubs.select("src", F.ceil(F.col("_n") / goal).cast("int").alias("_slots")))
@@ -92,17 +94,20 @@ def neighbours(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 def random_walk(
     edges: DataFrame, hubs: DataFrame, restart: float = 0.4, strength: str = "weight", tol: float = 1e-9,
-    max_iter: int = 1000, check_every: int = 5, zeros: bool = True,
+    max_iter: int = 1000, zeros: bool = True, per_pass: int = _SETS,
 ) -> DataFrame:
     """Random walk with restart from hub nodes: ``(seed_set, node, probability)``.
 
     ``hubs``: (seed_set, node). Weights are strengths, normalised per node; a node without
-    edges passes nothing on. A seed set with no hub in the graph is an error. The walk
-    stops when the L1 change of every set is below ``tol`` and returns the iterate before
-    that step; the change is looked at every ``check_every`` steps (1 gives the first such
-    step exactly). Parallel edges add up. Nodes that a set never reaches have probability 0;
+    edges passes nothing on. A seed set with no hub in the graph is an error. The walk of a set
+    stops at the first step whose L1 change is below ``tol`` and returns the iterate before
+    it. Parallel edges add up. Nodes that a set never reaches have probability 0;
     without ``zeros`` they have no row, which many seed sets on a large graph call for. A walk
     that has not settled after ``max_iter`` steps warns.
+
+    ``per_pass`` sets walk together as columns of one row per node. Edges and state are
+    hashed by node alike, so a step is one exchange, the sum of what arrives at a node; the
+    former iterate of each step is deleted.
     """
     moves = both_ways(edges, strength, "sum")
     every = nodes(edges)
@@ -114,42 +119,63 @@ def random_walk(
     if sets.join(found.select("seed_set").distinct(), "seed_set", "left_anti").limit(1).count():
         raise ValueError("a seed set has no node in the graph")
     sizes = found.groupBy("seed_set").agg(F.count(F.lit(1)).alias("_k"))
-    start = cut(found.join(sizes, "seed_set").select("seed_set", "node", (1 / F.col("_k")).alias("p")))
-    home = start.select("seed_set", "node", (F.col("p") * restart).alias("p"))
-
-    def step(p: DataFrame) -> DataFrame:
-        spread = held.join(p).select(
-            "seed_set", F.col("dst").alias("node"), (F.col("p") * F.col("_t") * (1 - restart)).alias("p"))
-        return spread.unionByName(home)
-
-    def collect(parts: DataFrame) -> DataFrame:
-        return parts.groupBy("seed_set", "node").agg(F.sum("p").alias("p"))
-
-    p, done, settled = start, 0, False
-    while done < max_iter:
-        for _ in range(min(check_every, max_iter - done) - 1):
-            p, done = collect(step(p)), done + 1
-        p = p if done == 0 else cut(p)
-        marked = step(p).withColumn("_old", F.lit(0.0)).unionByName(
-            p.select("seed_set", "node", F.lit(0.0).alias("p"), F.col("p").alias("_old")))
-        both = cut(marked.groupBy("seed_set", "node").agg(F.sum("p").alias("p"), F.sum("_old").alias("_old")))
-        done += 1
-        change = both.groupBy("seed_set").agg(F.sum(F.abs(F.col("p") - F.col("_old"))).alias("_d"))
-        head = change.agg(F.max("_d").alias("largest"), F.count(F.lit(1)).alias("sets")).first()
-        if head["largest"] < tol:
-            p, settled = both.select("seed_set", "node", F.col("_old").alias("p")).where("p > 0"), True
-            break
-        # a settled set keeps its iterate, so later rounds of other sets leave it as it is
-        change = F.broadcast(change) if head["sets"] <= 10_000 else change
-        p = both.join(change, "seed_set").select(
-            "seed_set", "node", F.when(F.col("_d") < tol, F.col("_old")).otherwise(F.col("p")).alias("p"))
+    numbered = cut(position(sizes, [], ["seed_set"], "_i"))
+    start = cut(found.join(numbered, "seed_set").select("_i", "node", (1 / F.col("_k")).alias("p")))
+    folder, late = scratch_path(edges.sparkSession, "walk"), 0
+    n = numbered.count()
+    for first in range(0, n, per_pass):
+        width = min(per_pass, n - first)
+        names = [f"_p{k}" for k in range(width)]
+        mine = start.where(F.col("_i").between(first + 1, first + width))
+        state = cut(mine.groupBy("node").agg(*[
+            F.sum(F.when(F.col("_i") == first + 1 + k, F.col("p")).otherwise(0.0)).alias(c) for k, c in enumerate(names)]))
+        walked, steps = _walk(held, state, names, restart, tol, max_iter)
+        late = max(late, steps)
+        walked.select("node", F.explode(F.array(*[
+            F.struct(F.lit(first + 1 + k).cast("long").alias("_i"), F.col(c).alias("probability")) for k, c in enumerate(names)])).alias("e")).select(
+            "node", "e.*").where("probability > 0").write.parquet(f"{folder}/pass={first}")
+        drop_cut(walked)
     held.release()
-    if not settled:
-        warnings.warn(f"the walk has not settled after {done} steps", RuntimeWarning, stacklevel=2)
-    p = p.withColumnRenamed("p", "probability")
+    if late > max_iter:
+        warnings.warn(f"the walk has not settled after {max_iter} steps", RuntimeWarning, stacklevel=2)
+    rows = edges.sparkSession.read.schema(f"node {every.schema['node'].dataType.simpleString()}, _i long, probability double").parquet(folder)
+    p = rows.join(numbered.select("_i", "seed_set"), "_i").select("seed_set", "node", "probability")
     return p.unionByName(_unreached(sets, every, p)) if zeros else p
 
 
+def _walk(held: HeldEdges, state: DataFrame, names: list[str], restart: float, tol: float, max_iter: int) -> tuple[DataFrame, int]:
+    """The settled iterates of one pass, and the number of steps (above ``max_iter``: not settled)."""
+    # the steps are stated as text: one call each instead of one per column
+    home = cut(state.selectExpr("node", *[f"{c} * {restart!r}D AS {c}" for c in names]))
+    onward = ["dst AS node", *[f"{c} * _t * {1 - restart!r}D AS {c}" for c in names]]
+    arrived = [F.expr(f"sum({c}) AS {c}") for c in names]
+    former = ["node AS _at", *[f"{c} AS _o{c}" for c in names]]
+    change_of = [F.expr(f"sum(abs({c} - _o{c})) AS {c}") for c in names]
+    same = F.expr("node = _at")
+    settled, stored = [False] * len(names), state
+    for done in range(1, max_iter + 1):
+        new = held.join(state).selectExpr(*onward).unionByName(home).groupBy("node").agg(*arrived)
+        pairs = [x for still, c in zip(settled, names) for x in (
+            f"coalesce({f'_o{c}' if still else c}, 0D) AS {c}", f"coalesce(_o{c}, 0D) AS _o{c}")]
+        seen = Observation()
+        both = new.join(state.selectExpr(*former), same, "full").selectExpr("coalesce(node, _at) AS node", *pairs)
+        after = cut(both.observe(seen, *change_of))
+        change = seen.get
+        drop_cut(stored)
+        stored = after
+        settled = [s or change[c] < tol for s, c in zip(settled, names)]
+        # a set that settles at this step goes back to the iterate before it
+        state = after.selectExpr("node", *[f"{f'_o{c}' if s else c} AS {c}" for s, c in zip(settled, names)])
+        if all(settled):
+            break
+    else:
+        done = max_iter + 1
+    out = cut(state)
+    drop_cut(stored)
+    drop_cut(home)
+    return out, done
+
+
 def _unreached(sets: DataFrame, every: DataFrame, p: DataFrame) -> DataFrame:
     """Nodes a set never reached, with probability 0."""
     lost = every.join(p.groupBy("node").agg(F.count(F.lit(1)).alias("_k")), "node", "left")
@@ -167,21 +193,32 @@ def hop_paths(edges: DataFrame, source: DataFrame) -> DataFrame:
     """Hop distance, number of shortest paths and one path ``a:b:c`` from every source.
 
     ``source``: (node). Returns ``(source, node, distance, n_paths, path)``; the path is the
-    smallest by text.
+    smallest by text. Edges go both ways, so what a level reaches is new or belongs to one of the
+    two levels before: each level is written once and compared with these two only.
     """
+    spark = edges.sparkSession
     held = HeldEdges(cut(both_ways(edges, None).select("src", "dst")))
-    start = source.join(nodes(edges), "node", "left_semi").select(
+    start = source.select("node").distinct().join(nodes(edges), "node", "left_semi").select(
         F.col("node").alias("source"), "node", F.lit(0).alias("distance"), F.lit(1.0).alias("n_paths"), F.col("node").alias("path"))
-    frontier = seen = cut(start)
-    while True:
+    folder, level = scratch_path(spark, "paths"), 0
+    before, frontier, found = None, *_write_level(start, f"{folder}/level=0")
+    while found:
+        level += 1
         reach = held.join(frontier).groupBy("source", "dst").agg(
-            (F.min("distance") + 1).alias("distance"), F.sum("n_paths").alias("n_paths"),
+            (F.min("distance") + 1).cast("int").alias("distance"), F.sum("n_paths").alias("n_paths"),
             F.min(F.concat_ws(":", "path", "dst")).alias("path")).withColumnRenamed("dst", "node")
-        frontier = cut(reach.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
-        if frontier.limit(1).count() == 0:
-            held.release()
-            return seen
-        seen = cut(seen.unionByName(frontier))
+        last = frontier if before is None else frontier.unionByName(before)
+        new = reach.join(last.select("source", "node"), ["source", "node"], "left_anti").select(*start.columns)
+        before, (frontier, found) = frontier, _write_level(new, f"{folder}/level={level}")
+    held.release()
+    return spark.read.schema(start.schema).parquet(folder).select(*start.columns)
+
+
+def _write_level(rows: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """The rows, stored, and their number."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), seen.get["n"]
 
 
 def within_distance(paths: DataFrame, most: int = 3) -> DataFrame:

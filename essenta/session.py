@@ -62,6 +62,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows that no later step reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the files behind a frame that ``cut`` returned; it cannot be read afterwards."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.nodeName().endswith("LogicalRDD") or "LogicalRDD" in plan.getClass().getName():
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            drop_path(df.sparkSession, file.get())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/essenta/{name}-{uuid.uuid4().hex}"
