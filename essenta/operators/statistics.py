@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from essenta.functions import probability as P
-from essenta.operators.order import attach, average_rank, group_sizes, median, running, value_counts
+from essenta.operators.order import attach, average_rank, group_sizes, median, position, running, split_rows, value_counts
+from essenta.session import bounded_broadcast, cut
 
 _RADIX_BITS = 4
+_BLOCK = 4_000_000  # response ranks that travel together: 32 MB
 
 
 def corr(x: Column | str, y: Column | str) -> Column:
@@ -43,7 +47,8 @@ def spearman(
 
     ``within``: the part of ``keys`` that decides the sample set. With none, all responses
     cover the same samples and features are ranked once; with all keys, they are ranked
-    inside each response's samples. A constant feature has a null ``rho``, or no row with
+    inside each response's samples, one gene after the other in packed arrays: the matrix is
+    shuffled once by gene, whatever the number of responses. A constant feature has a null ``rho``, or no row with
     ``drop_constant``. ``aligned``: both tables already hold the same samples, which saves
     two joins. This is the true coefficient in [-1, 1].
     """
@@ -54,6 +59,8 @@ def spearman(
     x = expression.select("sample", "gene", "value")
     if not aligned:
         y = y.join(expression.select("sample").distinct(), "sample", "left_semi")
+    if within and largest <= split_rows(x.sparkSession):
+        return _packed_spearman(x, y, keys, within, drop_constant)
     if within or not aligned:
         x = x.join(y.select(*within, "sample").distinct(), "sample")
     ranked_x = average_rank(x, [*within, "gene"], "value", "rx", largest).drop("value")
@@ -63,6 +70,85 @@ def spearman(
     return out.where(F.col("rho").isNotNull()) if drop_constant else out
 
 
+def _ranks(order: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Average-tie ranks of ``values``, which are sorted by ``order``."""
+    ranked = values[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    size = np.diff(np.append(first, len(ranked)))
+    out = np.empty(len(values))
+    out[order] = np.repeat(first + (size + 1) / 2.0, size)
+    return out
+
+
+def _numbered(rows: DataFrame, order: list[str], out: str) -> tuple[DataFrame, int]:
+    """The rows with their place in the order, stored, and how many there are."""
+    rows = cut(rows)
+    n = rows.count()
+    if n > split_rows(rows.sparkSession):
+        return cut(position(rows, [], order, out)), n
+    return cut(rows.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))), n
+
+
+def _packed_spearman(x: DataFrame, y: DataFrame, keys: list[str], within: list[str], drop_constant: bool) -> DataFrame:
+    """``spearman`` within sample sets: one row per gene with its samples and values as arrays.
+
+    The ranks of the responses are collected in blocks of at most ``_BLOCK`` values and broadcast; each
+    task ranks a gene once per sample set of the block and correlates it with all its responses.
+    """
+    spark = x.sparkSession
+    n_keys = len(keys)
+    y = cut(y)  # read by the numbers of the samples and by the ranks
+    ids, n = _numbered(y.select("sample").distinct(), ["sample"], "_id")
+    ranked = average_rank(y, keys, "y", "ry", split_rows(spark)).join(ids, "sample")
+    lists = ranked.groupBy(*keys).agg(F.collect_list("_id").alias("_ids"), F.collect_list("ry").alias("_ry"))
+    numbered, total = _numbered(lists, [*within, *[c for c in keys if c not in within]], "_k")
+    genes = cut(x.where("value IS NOT NULL").join(bounded_broadcast(ids), "sample").groupBy("gene").agg(
+        F.collect_list("_id").alias("_ids"), F.collect_list(F.col("value").cast("double")).alias("_values")))
+    kinds = [f"`{c}` {y.schema[c].dataType.simpleString()}" for c in keys]
+    schema = ", ".join([*kinds, f"gene {x.schema['gene'].dataType.simpleString()}", "rho double", "n long"])
+    per, out = max(1, _BLOCK // max(1, n)), None
+    for first in range(0, max(1, total), per):
+        rows = numbered.where(F.col("_k").between(first + 1, first + per)).orderBy("_k").toPandas()
+        ry = np.full((len(rows), n), np.nan)
+        for k, (at, value) in enumerate(zip(rows["_ids"], rows["_ry"])):
+            ry[k, np.asarray(at, np.int64) - 1] = value
+        names = list(rows[keys].itertuples(index=False, name=None))
+        sets: dict[tuple, list[int]] = {}
+        for k, name in enumerate(names):
+            sets.setdefault(tuple(name[keys.index(c)] for c in within), []).append(k)
+        shared = spark.sparkContext.broadcast((ry, names, list(sets.values())))
+
+        def step(batches, shared=shared):
+            ranks, labels, groups = shared.value
+            masks = [~np.isnan(ranks[g]).all(axis=0) for g in groups]
+            for pdf in batches:
+                found: list[tuple] = []
+                for gene, at, values in zip(pdf["gene"], pdf["_ids"], pdf["_values"]):
+                    at, values = np.asarray(at, np.int64) - 1, np.asarray(values, float)
+                    order = np.argsort(values, kind="stable")
+                    for group, mask in zip(groups, masks):
+                        here = mask[at]
+                        place = np.cumsum(here) - 1
+                        rx = _ranks(place[order[here[order]]], values[here])
+                        block = ranks[np.ix_(group, at[here])]
+                        known = ~np.isnan(block)
+                        for k, seen, other in zip(group, known, block):
+                            m = int(seen.sum())
+                            if not m:
+                                continue
+                            a, b = rx[seen], other[seen]
+                            a, b = a - a.mean(), b - b.mean()
+                            scale = np.sqrt(a @ a) * np.sqrt(b @ b)
+                            rho = float(a @ b / scale) if scale > 0 else None
+                            if rho is not None or not drop_constant:
+                                found.append((*labels[k], gene, rho, m))
+                yield pd.DataFrame(found, columns=[*[f"k{i}" for i in range(n_keys)], "gene", "rho", "n"]).set_axis([*keys, "gene", "rho", "n"], axis=1)
+
+        part = genes.mapInPandas(step, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def correlation_test(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman coefficients with two-sided p-values per key."""
     keys = list(keys)
