@@ -101,6 +101,8 @@ def _packed_spearman(x: DataFrame, y: DataFrame, keys: list[str], within: list[s
     ids, n = _numbered(y.select("sample").distinct(), ["sample"], "_id")
     ranked = average_rank(y, keys, "y", "ry", split_rows(spark)).join(ids, "sample")
     lists = ranked.groupBy(*keys).agg(F.collect_list("_id").alias("_ids"), F.collect_list("ry").alias("_ry"))
+    # a sample set may be shared by responses of several blocks
+    lists = lists.join(ranked.groupBy(*within).agg(F.collect_set("_id").alias("_all")), within)
     numbered, total = _numbered(lists, [*within, *[c for c in keys if c not in within]], "_k")
     genes = cut(x.where("value IS NOT NULL").join(bounded_broadcast(ids), "sample").groupBy("gene").agg(
         F.collect_list("_id").alias("_ids"), F.collect_list(F.col("value").cast("double")).alias("_values")))
@@ -116,11 +118,13 @@ def _packed_spearman(x: DataFrame, y: DataFrame, keys: list[str], within: list[s
         sets: dict[tuple, list[int]] = {}
         for k, name in enumerate(names):
             sets.setdefault(tuple(name[keys.index(c)] for c in within), []).append(k)
-        shared = spark.sparkContext.broadcast((ry, names, list(sets.values())))
+        masks = np.zeros((len(sets), n), bool)
+        for mask, group in zip(masks, sets.values()):
+            mask[np.asarray(rows["_all"][group[0]], np.int64) - 1] = True
+        shared = spark.sparkContext.broadcast((ry, names, list(sets.values()), masks))
 
         def step(batches, shared=shared):
-            ranks, labels, groups = shared.value
-            masks = [~np.isnan(ranks[g]).all(axis=0) for g in groups]
+            ranks, labels, groups, masks = shared.value
             for pdf in batches:
                 found: list[tuple] = []
                 for gene, at, values in zip(pdf["gene"], pdf["_ids"], pdf["_values"]):
