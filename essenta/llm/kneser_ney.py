@@ -1,161 +1,263 @@
-"""Interpolated modified Kneser-Ney model over symbol 4-grams, counted and estimated in Spark.
-
-A text is read as a sequence of ``BASE`` symbols: letters a to z, one symbol for capitals,
-digits, kinds of punctuation and white space, and the bytes of other letters by their last
-bits. Of five and more equal words in a row all but the last four are one symbol each. An n-gram is a
-number in base ``BASE``, its context the number without the last digit and its suffix the
-number without the first, so counts are sharded by plain integer keys. The alphabet bounds
-every table of the model at ``BASE ** ORDER`` rows (4.1 million), whatever the corpus size;
-that is the proven bound behind its broadcast.
+"""Interpolated modified Kneser-Ney model over code point 5-grams, counted and joined in Spark.
+
+A text is read as its code points, after ``ORDER - 1`` spaces. The n-grams are strings, so contexts and
+suffixes are substrings and every join is exact; nothing bounds their number but the texts.
+
+1. Documents are dealt by a hash of their id to buckets of about ``BUCKET`` bytes and travel as
+   compressed record batches. Each bucket is reduced to its distinct n-grams with their counts in
+   trusted documents (``bucket_grams``).
+2. N-grams are added up over all buckets, and joins sharded by n-gram, context and suffix give the
+   interpolated probability of every n-gram that occurs in any document (``estimate``).
+3. The probabilities go back to the buckets that asked for them, as sorted arrays of 64-bit hashes with
+   their costs, and every document is scored there (``scored``).
+
+Buckets of even and of odd numbers have a model each, counted in the trusted documents of the other half: no
+document is scored by a model that has seen it, so the trusted documents' scores are a fair sample for
+quantiles. No text, n-gram or id passes the driver, and nothing is broadcast.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from essenta.llm.common import Folder
+from essenta.llm.common import Folder, own_name
 
-BASE, ORDER, SPACE = 45, 4, 28
-CHUNK = 1 << 22
-_RUN = re.compile(r"(?<!\S)(\S++)\s+(?=(?:\1\s+){3}\1(?!\S))")
+ORDER = 5
+ALPHABET = 0x110000  # code points; below single code points the model is uniform over them
+BUCKET, CHUNK, PIECE = 32 << 20, 32 << 20, 1 << 22
+DRAWN = 100  # rows of all languages that a language's own quantiles are drawn towards
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _symbol_table() -> np.ndarray:
-    kinds = {" ": 28, ".": 30, ",": 31, "|": 37, "-": 35, "\x01": 39}
-    kinds |= dict.fromkeys("\t\n\r\x0b\x0c", 29) | dict.fromkeys("!?", 32) | dict.fromkeys(";:", 33)
-    kinds |= dict.fromkeys("'\"`", 34) | dict.fromkeys("()[]{}", 36)
-    kinds |= {chr(65 + k): 26 for k in range(26)} | {chr(97 + k): k for k in range(26)} | {chr(48 + k): 27 for k in range(10)}
-    return np.array([kinds.get(chr(b), 38) if b < 128 else 40 if b >= 192 else 41 + (b & 3) for b in range(256)], np.int32)
+def code_points(text: str) -> np.ndarray:
+    """Code points after the spaces before the start; U+0000, which ends strings in arrays, is read as U+0001."""
+    return np.frombuffer((" " * (ORDER - 1) + text.replace("\0", "\1")).encode("utf-32-le", "replace"), np.uint32)
 
 
-SYMBOL = _symbol_table()
+def hashed(points: np.ndarray) -> np.ndarray:
+    """64-bit hash of the n-gram that ends at each code point from the first of the text on."""
+    size = len(points) - ORDER + 1
+    out = points[:size].astype(np.uint64)
+    for k in range(1, ORDER):
+        out ^= out >> np.uint64(29)
+        out *= _STEP
+        out += points[k:size + k]
+    return out ^ (out >> np.uint64(32))
+
+
+def pieces(text: str) -> Iterator[np.ndarray]:
+    """The code points in pieces of at most ``PIECE`` n-grams, so that very long texts need no more memory."""
+    points = code_points(text)
+    for start in range(0, len(points) - ORDER + 1, PIECE):
+        yield points[start:start + PIECE + ORDER - 1]
+
+
+def as_strings(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    rows = np.ascontiguousarray(points[at[:, None] + np.arange(ORDER)])
+    return rows.view(f"<U{ORDER}").ravel()
+
+
+class Counts:
+    """Distinct n-grams of a bucket with their counts, merged text after text."""
+
+    def __init__(self):
+        self.keys, self.grams, self.counts = np.zeros(0, np.uint64), np.zeros(0, f"<U{ORDER}"), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.shares: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, text: str, trusted: bool) -> None:
+        for points in pieces(text):
+            self.waiting.append(points)
+            self.shares.append(np.full(len(points) - ORDER + 1, trusted, bool))
+            self.size += len(points)
+            if self.size >= PIECE:
+                self.merge()
+
+    def merge(self) -> None:
+        if not self.waiting:
+            return
+        keys = np.concatenate([hashed(p) for p in self.waiting])
+        # places of the n-grams in the joined code points: each piece has ORDER - 1 more of these
+        points, counted = np.concatenate(self.waiting), np.concatenate(self.shares)
+        lead = np.repeat(np.arange(len(self.waiting)) * (ORDER - 1), [len(s) for s in self.shares])
+        found, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        counts = np.bincount(which, counted, len(found)).astype(np.int64)
+        grams = as_strings(points, first + lead[first])
+        both = np.concatenate([self.keys, found])
+        self.keys, first, which = np.unique(both, return_index=True, return_inverse=True)
+        self.grams = np.concatenate([self.grams, grams])[first]
+        self.counts = np.bincount(which, np.concatenate([self.counts, counts]), len(self.keys)).astype(np.int64)
+        self.waiting, self.shares, self.size = [], [], 0
 
 
-def grams(text: str) -> np.ndarray:
-    """The 4-gram that ends at each symbol of ``text``; spaces stand before its start."""
-    s = SYMBOL[np.frombuffer(_RUN.sub("\x01", text).encode(), np.uint8)]
-    s = np.concatenate([np.full(ORDER - 1, SPACE, np.int32), s])
-    out = s[:len(s) - ORDER + 1].copy()
-    for k in range(1, ORDER):
-        out *= BASE
-        out += s[k:len(s) - ORDER + 1 + k]
-    return out
+class HashArrays:
+    """A bucket's part of the model: sorted hashes of its n-grams and their costs, looked up by binary search."""
+
+    def __init__(self, grams: list[str], bits: np.ndarray):
+        points = np.array(grams, f"<U{ORDER}").view(np.uint32) if grams else np.zeros(0, np.uint32)
+        keys = hashed(points)[::ORDER] if grams else np.zeros(0, np.uint64)
+        order = keys.argsort()
+        self.keys, self.costs = keys[order], bits[order]
+
+    def total(self, text: str) -> tuple[int, float]:
+        """Number of code points and their cost in bits."""
+        size, total = 0, 0.0
+        for points in pieces(text):
+            keys = hashed(points)
+            total += float(self.costs[np.searchsorted(self.keys, keys)].sum(dtype=np.float64))
+            size += len(keys)
+        return size, total
+
 
+def bucket_of(key: Column, number: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(number)).cast("int")
 
-def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``gram, c`` over all texts: each task sums its own in one array, then tasks are added."""
+
+def packed(docs: DataFrame, bucket: str) -> DataFrame:
+    """``bucket, rows``: the rows of ``docs`` by bucket, as compressed record batches without the bucket."""
 
     def step(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros(BASE ** ORDER, np.int64)
         waiting, size = [], 0
         for batch in batches:
-            for value in batch.column(0).to_pylist():
+            waiting.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK:
+                yield from cut(waiting)
+                waiting, size = [], 0
+        yield from cut(waiting)
+
+    def cut(waiting):
+        if not sum(b.num_rows for b in waiting):
+            return
+        rows = pa.Table.from_batches(waiting)
+        buckets = rows.column(bucket).to_numpy()
+        order = buckets.argsort(kind="stable")
+        starts = np.flatnonzero(np.diff(buckets[order], prepend=-1))
+        rows, options = rows.drop_columns([bucket]), pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))
+        for start, end in zip(starts, [*starts[1:], len(order)]):
+            part = rows.take(order[start:end])
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+                out.write_table(part, max_chunksize=256)
+            yield pa.RecordBatch.from_arrays([pa.array([buckets[order[start]]], pa.int32()), pa.array([sink.getvalue()], pa.binary())], names=["bucket", "rows"])
+
+    return docs.mapInArrow(step, "bucket int, rows binary")
+
+
+def unpacked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    for blob in table.column("rows"):
+        with pa.ipc.open_stream(blob.as_buffer()) as stream:
+            yield from stream
+
+
+def bucket_grams(blobs: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFrame:
+    """``bucket, gram, c``: distinct n-grams of each bucket and their counts in its trusted documents."""
+
+    def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, counts = set(right.column("id").to_pylist()), Counts()
+        for batch in unpacked(left):
+            for name, value in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist()):
                 if value:
-                    waiting.append(grams(value))
-                    size += len(waiting[-1])
-                if size >= CHUNK:
-                    total += np.bincount(np.concatenate(waiting), minlength=len(total))
-                    waiting, size = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=len(total))
-        seen = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["gram", "c"])
-
-    return docs.select(text).mapInArrow(step, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
-def _discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts from the numbers of n-grams seen once to four times."""
-    n = [max(1, x or 0) for x in counts.agg(*[F.sum((F.col("c") == k).cast("long")) for k in (1, 2, 3, 4)]).first()]
-    y = n[0] / (n[0] + 2 * n[1])
-    return [min(float(k), max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)]
+                    counts.add(value, name in known)
+        counts.merge()
+        n = len(counts.keys)
+        bucket = left.column("bucket")[0].as_py() if left.num_rows else 0
+        return pa.table({"bucket": pa.array(np.full(n, bucket), pa.int32()), "gram": pa.array(counts.grams.tolist(), pa.string()), "c": pa.array(counts.counts)})
+
+    return blobs.groupBy("bucket").cogroup(trusted.groupBy("bucket")).applyInArrow(step, "bucket int, gram string, c long")
+
+
+def _discounts(counts: DataFrame) -> dict[int, list[float]]:
+    """Modified Kneser-Ney discounts of each model from the numbers of n-grams seen once to four times."""
+    out = {0: [0.5, 1.0, 1.5], 1: [0.5, 1.0, 1.5]}
+    for row in counts.groupBy("model").agg(*[F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect():
+        n = [max(1, row[f"n{k}"]) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        out[row["model"]] = [min(float(k), max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)]
+    return out
 
 
-def estimate(counts: DataFrame, folder: Folder) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Tables by order 1 to ``ORDER``: seen n-grams ``gram, p`` and contexts ``context, rest``.
+def estimate(counts: DataFrame, folder: Folder) -> DataFrame:
+    """``model, gram, p``: the interpolated probability of the last code point of each n-gram.
 
-    ``p`` is the interpolated probability of the last symbol, ``rest`` the weight that the
-    next lower order has after the context. Lower orders count the symbols that an n-gram was
-    seen after. Each order is joined with its context sums and with the order below, both
-    sharded by their integer keys.
+    ``counts (model, gram, c)`` holds every n-gram that is asked for; ``c`` is 0 for those that the model has not
+    seen. Lower orders count the code points that an n-gram was seen after. Each order is joined
+    with the sums of its contexts and with the order below, sharded by context and by suffix; an
+    n-gram whose context was never seen has the probability of its suffix.
     """
-    by_order = {ORDER: folder.write(counts, "counts")}
+    by_order = {ORDER: counts}
     for o in range(ORDER - 1, 0, -1):
-        by_order[o] = folder.write(
-            by_order[o + 1].groupBy((F.col("gram") % BASE ** o).alias("gram")).agg(F.count(F.lit(1)).alias("c")), f"continuations{o}")
-    seen, contexts = [], []
+        by_order[o] = folder.write(by_order[o + 1].groupBy("model", F.substring("gram", 2, o).alias("gram")).agg(
+            F.sum((F.col("c") > 0).cast("long")).alias("c")), f"continuations{o}")
+    lower = None
     for o in range(1, ORDER + 1):
         d = _discounts(by_order[o])
-        off = F.when(F.col("c") >= 3, d[2]).when(F.col("c") == 2, d[1]).otherwise(d[0])
-        rows = by_order[o].select("gram", (F.col("c") - off).alias("own"), off.alias("off"), F.floor(F.col("gram") / BASE).alias("context"), "c")
-        context = folder.write(rows.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("rest")), f"contexts{o}")
+        off = F.lit(0.0)
+        for m in d:
+            c = F.col("c")
+            off = F.when((F.col("model") == m) & (c > 0), F.when(c >= 3, d[m][2]).when(c == 2, d[m][1]).otherwise(d[m][0])).otherwise(off)
+        rows = by_order[o].select("model", "gram", "c", off.alias("off"), F.substring("gram", 1, o - 1).alias("context"))
+        sums = rows.groupBy("model", "context").agg(F.sum("c").alias("total"), F.sum("off").alias("left"))
+        rows = rows.join(sums, ["model", "context"])
         if o == 1:
-            p = rows.join(context, "context").select("gram", (F.col("own") / F.col("total") + F.col("rest") / BASE).alias("p"))
+            rows = rows.withColumn("lower", F.lit(1.0 / ALPHABET))
         else:
-            below = seen[-1].select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-            p = rows.withColumn("suffix", F.col("gram") % BASE ** (o - 1)).join(context, "context").join(below, "suffix").select(
-                "gram", (F.col("own") / F.col("total") + F.col("rest") * F.col("lower")).alias("p"))
-        seen.append(folder.write(p, f"seen{o}"))
-        contexts.append(context.select("context", "rest"))
-    return seen, contexts
-
-
-def collected(tables: list[DataFrame], value: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted keys and values of each table (bounded by the alphabet, see above)."""
-    out = []
-    for table in tables:
-        got = table.toArrow()
-        keys = got.column(0).to_numpy().astype(np.int32)
-        order = keys.argsort()
-        out.append((keys[order], got.column(value).to_numpy()[order]))
-    return out
+            below = lower.select("model", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+            rows = rows.withColumn("suffix", F.substring("gram", 2, o - 1)).join(below, ["model", "suffix"])
+        p = F.when(F.col("total") > 0, (F.col("c") - F.col("off") + F.col("left") * F.col("lower")) / F.col("total")).otherwise(F.col("lower"))
+        lower = folder.write(rows.select("model", "gram", p.alias("p")), f"model{o}")
+    return lower
 
 
-def dense_costs(seen, contexts) -> np.ndarray:
-    """Bits of every possible n-gram of the highest order, seen or not."""
-    p = np.full(1, 1 / BASE)
-    for (grams_, ps), (heads, rests) in zip(collected(seen, "p"), collected(contexts, "rest")):
-        o_size = BASE * (len(p) if len(p) > 1 else 1)
-        rest = np.ones(o_size // BASE)
-        rest[heads] = rests
-        lower = np.tile(p, o_size // len(p)).reshape(-1, BASE) if len(p) > 1 else np.full((1, BASE), p[0])
-        p = (rest[:, None] * lower).ravel()
-        p[grams_] = ps
-    return -np.log2(p).astype(np.float32)
+def scored(docs: DataFrame, trusted: DataFrame, folder: Folder, text: str, doc_id: str, names: tuple[str, str],
+           extra: tuple[str, Callable[[str | None], tuple]] | None = None, keep_text: bool = True) -> DataFrame:
+    """``docs`` with the number of code points and their mean cost in bits (null for an empty text), stored.
 
-
-class HashArrays:
-    """The model as sorted key arrays with their values, looked up by binary search."""
-
-    def __init__(self, seen, contexts):
-        self.seen = [(k, np.log2(p)) for k, p in collected(seen, "p")]
-        self.contexts = [(k, np.log2(r)) for k, r in collected(contexts, "rest")]
-
-    @staticmethod
-    def _find(table, keys):
-        known, values = table
-        if not len(known):
-            return np.zeros(len(keys)), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return values[at], known[at] == keys
-
-    def bits(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Cost of the last symbol of each n-gram; unseen ones back off to the order below."""
-        if order == 0:
-            return np.full(len(keys), np.log2(BASE))
-        value, found = self._find(self.seen[order - 1], keys)
-        out = -value
-        if not found.all():
-            missing = keys[~found]
-            rest, known = self._find(self.contexts[order - 1], missing // BASE)
-            out[~found] = self.bits(missing % BASE ** (order - 1), order - 1) - np.where(known, rest, 0.0)
-        return out
+    ``trusted (doc_id)`` names the documents that the model is trained on. ``extra`` is a schema of long
+    columns and the function of a text that gives them. Rows without an id are dealt by their text.
+    """
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    number = 2 * max(1, -(-size // (2 * BUCKET)))
+    bucket, key = own_name(docs, "bucket", "key")
+    rows = docs.withColumn(key, F.col(doc_id).cast("string"))
+    rows = rows.withColumn(bucket, bucket_of(F.coalesce(F.col(key), F.col(text)), number))
+    schema, columns = rows.schema, [c for c in docs.columns if keep_text or c != text]
+    blobs = packed(rows, bucket)
+    ids = trusted.select(F.col("doc_id").cast("string").alias("id"))
+    asked = folder.write(bucket_grams(blobs, ids.withColumn("bucket", bucket_of(F.col("id"), number)), key, text), "asked")
+    # asked of the model of the own half, counted for the model of the other one
+    half = F.col("bucket") % 2
+    both = asked.select(F.inline(F.array(
+        F.struct(half.alias("model"), "gram", F.lit(0).cast("long").alias("c")), F.struct((1 - half).alias("model"), "gram", "c"))))
+    model = estimate(folder.write(both.groupBy("model", "gram").agg(F.sum("c").alias("c")), "counts"), folder)
+    answers = asked.select("bucket", half.alias("model"), "gram").join(model, ["model", "gram"]).select(
+        "bucket", "gram", (-F.log2("p")).cast("float").alias("bits"))
+
+    def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        part = HashArrays(right.column("gram").to_pylist(), right.column("bits").to_numpy())
+        out = []
+        for batch in unpacked(left):
+            texts = batch.column(text).to_pylist()
+            totals = [part.total(t) if t else (0, 0.0) for t in texts]
+            new = [pa.array([n for n, _ in totals], pa.int64()), pa.array([x / n if n else None for n, x in totals], pa.float64())]
+            if extra:
+                new += [pa.array(c, pa.int64()) for c in zip(*[extra[1](t) for t in texts])]
+            out.append(pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *new], names=[*columns, *fields]))
+        return pa.Table.from_batches(out) if out else empty
+
+    fields = [*names, *([c.split()[0] for c in extra[0].split(", ")] if extra else [])]
+    kinds = [f"`{c}` {schema[c].dataType.simpleString()}" for c in columns] + [f"`{names[0]}` long", f"`{names[1]}` double"] + ([extra[0]] if extra else [])
+    empty = to_arrow_schema(StructType.fromDDL(", ".join(kinds))).empty_table()
+    return folder.write(blobs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(step, ", ".join(kinds)), "scored")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -163,29 +265,32 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
-def language_bounds(scored: DataFrame, trusted: DataFrame, tail: float, slack: float, least: int) -> DataFrame:
-    """``language, centre, low, high`` from the trusted documents' scores ``(doc_id, language, cost)``.
+def shrunk(symbols: str, cost: str, centre: str, prior: int) -> Column:
+    """Mean cost with ``prior`` more code points at the typical cost: that of a short text strays widely."""
+    return (F.col(symbols) * F.col(cost) + prior * F.col(centre)) / (F.col(symbols) + prior)
+
+
+def bounds_of(scored: DataFrame, trusted: DataFrame, prior: int, tail: float, drawn: int = DRAWN) -> DataFrame:
+    """``language, centre, low, high`` of every language with a trusted document, from ``scored (doc_id, language, symbols, cost)``.
 
-    ``high`` is the median plus ``slack`` times the distance from the median to the upper
-    ``tail`` quantile, ``low`` the same downwards. The row for a null language with
-    ``common`` true holds all languages together, for those with fewer than ``least`` trusted
-    documents.
+    ``centre`` is the median of the language's trusted documents, ``low`` and ``high`` are the ``tail`` and ``1 - tail`` quantiles of
+    their scores. With n trusted documents the distance of a quantile from the centre is the mean of the own
+    one, weight n, and of the one over all languages, weight ``drawn``: there is no switch at any n.
     """
     rows = scored.where("cost is not null").join(trusted, "doc_id", "left_semi")
-    qs = F.percentile_approx("cost", [tail, 0.5, 1 - tail], 20_000).alias("q")
-    each = rows.groupBy("language").agg(qs, F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).withColumn("common", F.lit(False))
-    every = rows.agg(qs, F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(None).cast("string").alias("language"), "q", "n", F.lit(True).alias("common"))
-    centre = F.col("q")[1]
-    return each.unionByName(every).select(
-        "language", "common", centre.alias("centre"), (centre - slack * (centre - F.col("q")[0])).alias("low"),
-        (centre + slack * (F.col("q")[2] - centre)).alias("high"))
+    centres = rows.groupBy("language").agg(F.percentile_approx("cost", 0.5, 20_000).alias("centre"))
+    known = centres.select(F.col("language").alias("l"), "centre")
+    away = rows.join(known, F.col("language").eqNullSafe(F.col("l"))).select(
+        "language", "centre", (shrunk("symbols", "cost", "centre", prior) - F.col("centre")).alias("away"))
+    qs = F.percentile_approx("away", [tail, 1 - tail], 20_000)
+    own = away.groupBy("language", "centre").agg(qs.alias("q"), F.count(F.lit(1)).alias("n"))
+    every = F.broadcast(away.agg(qs.alias("all")))  # one row
+    side = lambda k: F.col("centre") + (F.col("n") * F.col("q")[k] + drawn * F.col("all")[k]) / (F.col("n") + drawn)
+    return own.crossJoin(every).select("language", "centre", side(0).alias("low"), side(1).alias("high"))
 
 
 def with_bounds(df: DataFrame, bounds: DataFrame, language: str, names: tuple[str, str, str]) -> DataFrame:
-    """``df`` with the centre and the bounds of its language, else the common ones, else null."""
-    sides = ("centre", "low", "high")
-    common = bounds.where("common").first() or {c: None for c in sides}
-    own = bounds.where("not common").select(F.col("language").alias("_l"), *[F.col(c).alias(f"_{c}") for c in sides])
+    """``df`` with the centre and the bounds of its language, null where it has no trusted document."""
+    own = bounds.select(F.col("language").alias("_l"), *[F.col(c).alias(f"_{c}") for c in ("centre", "low", "high")])
     joined = df.join(own, df[language].eqNullSafe(F.col("_l")), "left")
-    return joined.select(*[df[c] for c in df.columns], *[
-        F.coalesce(F.col(f"_{c}"), F.lit(common[c]).cast("double")).alias(n) for c, n in zip(sides, names)])
+    return joined.select(*[df[c] for c in df.columns], *[F.col(f"_{c}").alias(n) for c, n in zip(("centre", "low", "high"), names)])

@@ -1,100 +1,45 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text.
 
-The trusted documents are those labelled as good. Their n-grams are counted in Spark,
-sharded joins of counts, context sums and lower orders give the probabilities (see
-``kneser_ney``), and each document's perplexity follows from its own n-grams. A document is
-rejected above the bound of its language, which is set by quantiles of the trusted documents.
+The trusted documents are those labelled as good. Their n-grams are counted in Spark, sharded
+joins of counts, context sums and lower orders give the probabilities, and joins with the
+n-grams of the documents, by bucket of documents, each one's perplexity (see ``kneser_ney``).
+A document is rejected above the quantile ``1 - TAIL`` of its language's trusted documents.
 
-The mean cost of a short text strays widely, so a score adds ``PRIOR`` symbols at the typical
+The mean cost of a short text strays widely, so a score adds ``PRIOR`` code points at the typical
 cost of the language before the bound is applied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from essenta.llm import kneser_ney as kn
 from essenta.llm.common import Folder, own_name
 
-PRIOR, TAIL, SLACK, LEAST = 200, 0.005, 3.0, 100
-
-
-def with_costs(docs: DataFrame, costs: np.ndarray, text: str, symbols: str, cost: str) -> DataFrame:
-    """``docs`` with the number of symbols and their mean cost in bits (null for an empty text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(costs)
-    at = docs.columns.index(text)
-
-    def step(batches: Iterator[pa.RecordBatch]):
-        table = shared.value
-        for batch in batches:
-            n, mean = [], []
-            for value in batch.column(at).to_pylist():
-                total, size = 0.0, 0
-                if value:
-                    found = kn.grams(value)
-                    total, size = float(table[found].sum(dtype=np.float64)), len(found)
-                n.append(size)
-                mean.append(total / size if size else None)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(n, pa.int64()), pa.array(mean, pa.float64())], names=[*batch.schema.names, symbols, cost])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(step, ", ".join([*fields, f"`{symbols}` long", f"`{cost}` double"]))
-
-
-def shrunk(symbols: str, cost: str, centre: str, prior: int) -> Column:
-    return (F.col(symbols) * F.col(cost) + prior * F.col(centre)) / (F.col(symbols) + prior)
-
-
-def trusted_model(docs: DataFrame, trusted: DataFrame, folder: Folder, text: str = "text", doc_id: str = "doc_id"):
-    """Tables of the model of all documents whose id is in ``trusted (doc_id)``.
-
-    The ids grow with the corpus, so they are never broadcast: texts and ids meet in one shuffle.
-    """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(trusted.hint("merge"), "doc_id", "left_semi")
-    return kn.estimate(kn.count_grams(rows), folder)
-
-
-def bounds_of(scored: DataFrame, trusted: DataFrame, folder: Folder, prior: int = PRIOR, tail: float = TAIL,
-              slack: float = SLACK, least: int = LEAST) -> DataFrame:
-    """Bounds by language from ``scored (doc_id, language, symbols, cost)``: first the typical cost, then the scores' tails."""
-    rough = kn.language_bounds(scored, trusted, tail, 1.0, least)
-    centred = kn.with_bounds(scored, rough, "language", ("centre", "low", "high"))
-    scores = centred.select("doc_id", "language", shrunk("symbols", "cost", "centre", prior).alias("cost"))
-    fine = kn.language_bounds(scores, trusted, tail, slack, least).select("language", "common", "low", "high")
-    both = rough.select(F.col("language").alias("l"), F.col("common").alias("a"), "centre").join(
-        fine, F.col("language").eqNullSafe(F.col("l")) & (F.col("common") == F.col("a")))
-    return folder.write(both.select("language", "common", "centre", "low", "high"), "bounds")
+PRIOR, TAIL = 200, 0.005
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang",
+             keep_text: bool = True, tail: float = TAIL) -> DataFrame:
     """``docs`` with ``n_symbols, perplexity, score, bound, accepted`` (a clashing name gets an underscore).
 
     ``accepted`` is false where the score is above the bound of the language, or where the
-    text is null or empty (its perplexity is null). Languages with fewer than ``LEAST`` trusted
-    documents, a null one too, use the common bound; without any trusted document all texts
-    with a symbol are accepted. Repeated rows are scored alike; labels without an id or with
-    mixed judgements for an id do not make it trusted. No rows give no rows.
+    text is null or empty (its perplexity is null). A language without any trusted document, null counting as a
+    language, has no bound and no score, and its texts with a code point are accepted: they are not held against the bounds of other
+    languages. Repeated rows are scored alike; labels without an id or with mixed judgements for an id do
+    not make it trusted. No rows give no rows. Without ``keep_text`` the text is left out.
     """
     folder = Folder(docs.sparkSession, "quality")
     trusted = folder.write(kn.trusted_ids(labels), "trusted")
-    costs = kn.dense_costs(*trusted_model(docs, trusted, folder, text, doc_id))
     symbols, perplexity, score, bound, accepted, centre, low = own_name(
         docs, "n_symbols", "perplexity", "score", "bound", "accepted", "centre", "low")
-    # scored twice: once as a slim table for the bounds, once with all columns on the way out, so no text is stored
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("language"), F.col(text).alias("text"))
-    plain = folder.write(with_costs(slim, costs, "text", "symbols", "cost").drop("text"), "scored")
-    bounds = bounds_of(plain, trusted, folder)
-    scored = with_costs(docs, costs, text, symbols, perplexity)
-    out = kn.with_bounds(scored, bounds, lang, (centre, low, bound))
-    out = out.withColumn(score, shrunk(symbols, perplexity, centre, PRIOR))
+    rows = kn.scored(docs, trusted, folder, text, doc_id, (symbols, perplexity), keep_text=keep_text)
+    slim = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("language"), F.col(symbols).alias("symbols"), F.col(perplexity).alias("cost"))
+    bounds = folder.write(kn.bounds_of(slim, trusted, PRIOR, tail), "bounds")
+    out = kn.with_bounds(rows, bounds, lang, (centre, low, bound)).withColumn(score, kn.shrunk(symbols, perplexity, centre, PRIOR))
     fine = F.col(perplexity).isNotNull() & F.coalesce(F.col(score) <= F.col(bound), F.lit(True))
-    return out.select(*docs.columns, symbols, F.pow(F.lit(2.0), perplexity).alias(perplexity), score, bound, fine.alias(accepted))
+    return out.select(*[c for c in docs.columns if keep_text or c != text], symbols, F.pow(F.lit(2.0), perplexity).alias(perplexity), score, bound, fine.alias(accepted))
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:

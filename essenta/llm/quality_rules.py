@@ -1,8 +1,8 @@
 """Quality rules: repetition counts and bands of n-gram perplexity.
 
 The base rules count words, symbols, repeated lines and repeated word windows of the whole
-text. The method is a Kneser-Ney model counted and estimated in Spark and stored in sorted
-hash arrays (``kneser_ney.HashArrays``): a text is kept when its score lies between the lower
+text. The method is a Kneser-Ney model counted and estimated in Spark and stored, a part for each bucket
+of documents, in sorted hash arrays (``kneser_ney.HashArrays``): a text is kept when its score lies between the lower
 and the upper bound of its language. Unlike the quality classifier, which looks only upwards,
 a text that is far too predictable goes as well.
 """
@@ -10,16 +10,14 @@ a text that is far too predictable goes as well.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from essenta.llm import kneser_ney as kn
 from essenta.llm.common import WORD, Folder
-from essenta.llm.quality_classifier import PRIOR, bounds_of, shrunk, trusted_model
+from essenta.llm.quality_classifier import PRIOR, TAIL
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, WINDOW, MOST_REPEATED = 50, 3, 50  # words, words, percent
@@ -53,54 +51,21 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words))
 
 
-def measured(docs: DataFrame, model: kn.HashArrays) -> DataFrame:
-    """``doc_id, language``, the base counts, ``symbols`` and ``cost`` of ``docs (doc_id, lang, text)``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def step(batches: Iterator[pa.RecordBatch]):
-        # costs that this task has looked up; the alphabet bounds it
-        known = np.full(kn.BASE ** kn.ORDER, np.nan, np.float32)
-        for batch in batches:
-            keys, languages, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            counts = [base_counts(t) for t in texts]
-            size, cost = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for k, text in enumerate(texts):
-                if not text:
-                    continue
-                found = kn.grams(text)
-                costs = known[found]
-                new = np.isnan(costs)
-                if new.any():
-                    wanted = np.unique(found[new])
-                    known[wanted] = shared.value.bits(wanted)
-                    costs = known[found]
-                size[k], cost[k] = len(found), costs.mean(dtype=np.float64)
-            columns = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays(
-                [keys, languages, *columns, pa.array(size), pa.array(cost, mask=size == 0)],
-                names=["doc_id", "language", *COUNTS, "symbols", "cost"])
-
-    kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = f"doc_id {kind['doc_id']}, language {kind['lang']}, " + ", ".join(f"{c} long" for c in COUNTS) + ", symbols long, cost double"
-    return docs.select("doc_id", "lang", "text").mapInArrow(step, schema)
-
-
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: id, base counts, ``base_failed``, ``kept``, the score and its band.
 
     A null text has no words, so it fails the base rules, like any of fewer than 50 words. The
-    band is that of the trusted documents of the language; languages with too few of them, a
-    null one too, use the common band, and without any trusted document the base rules decide
-    alone. Repeated rows are judged alike. No rows give no rows. Further columns are not read.
+    band is that of the trusted documents of the language; where it has none, null counting as
+    a language, the base rules decide alone. Repeated rows are judged alike. No rows give no rows. Further columns are not read.
     """
     folder = Folder(docs.sparkSession, "rules")
     trusted = folder.write(kn.trusted_ids(labels), "trusted")
-    model = kn.HashArrays(*trusted_model(docs, trusted, folder))
-    rows = folder.write(measured(docs, model), "measured")
-    bounds = bounds_of(rows.select("doc_id", "language", "symbols", "cost"), trusted, folder)
+    slim = docs.select("doc_id", F.col("lang").alias("language"), "text")
+    rows = kn.scored(slim, trusted, folder, "text", "doc_id", ("symbols", "cost"), (", ".join(f"{c} long" for c in COUNTS), base_counts), keep_text=False)
+    bounds = folder.write(kn.bounds_of(rows.select("doc_id", "language", "symbols", "cost"), trusted, PRIOR, TAIL), "bounds")
     out = kn.with_bounds(rows, bounds, "language", ("centre", "low", "high"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    score = shrunk("symbols", "cost", "centre", PRIOR)
+    score = kn.shrunk("symbols", "cost", "centre", PRIOR)
     inside = F.coalesce(score.between(F.col("low"), F.col("high")), F.lit(True))
     return out.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & inside).alias("kept"),
                       score.alias("score"), "low", "high")

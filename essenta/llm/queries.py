@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
 @query("op1_quality_classifier")
 def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return quality_classifier.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels"), keep_text=False)
 
 
 @query("op2_best_fit_packing")

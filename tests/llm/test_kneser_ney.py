@@ -1,29 +1,26 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from essenta.llm import kneser_ney as kn
-from essenta.llm import quality_classifier
 from essenta.llm.common import Folder
 from essenta.llm.quality_classifier import classify, drop_poor
 from essenta.llm.quality_rules import base_counts, judge
 from tests.llm.odd import odd, table, words
 
-TEXTS = ["the cat sat on the mat.", "The dog, the cat: 12!", "a b c d e f g", "Ein Übermaß an Fragen?", "the the the the the the", ""]
-
-
-def symbols(text):
-    return [kn.SPACE] * (kn.ORDER - 1) + [int(kn.SYMBOL[b]) for b in kn._RUN.sub("\x01", text).encode()]
+TEXTS = ["the cat sat on the mat.", "The dog, the cat: 12!", "a b c d e f g", "Ein \u00dcberma\u00df an Fragen? \U0001f600", "the the the the the the", "", "a\x00b",
+         "the cat sat on a mat. the cat again", "one dog", "two dogs and a cat", "x" * 40]
 
 
 def brute_model(texts):
-    """Plain interpolated modified Kneser-Ney over tuples."""
+    """Plain interpolated modified Kneser-Ney over strings."""
     counts = {kn.ORDER: Counter()}
     for t in texts:
-        s = symbols(t)
-        counts[kn.ORDER].update(tuple(s[k - kn.ORDER + 1:k + 1]) for k in range(kn.ORDER - 1, len(s)))
+        s = " " * (kn.ORDER - 1) + t.replace("\0", "\1")
+        counts[kn.ORDER].update(s[k:k + kn.ORDER] for k in range(len(s) - kn.ORDER + 1))
     for o in range(kn.ORDER - 1, 0, -1):
         counts[o] = Counter(g[1:] for g in counts[o + 1])
     discounts, totals, sums = {}, {}, {}
@@ -38,7 +35,7 @@ def brute_model(texts):
 
     def p(gram):
         o = len(gram)
-        lower = p(gram[1:]) if o > 1 else 1 / kn.BASE
+        lower = p(gram[1:]) if o > 1 else 1 / kn.ALPHABET
         total = totals[o][gram[:-1]]
         if not total:
             return lower
@@ -49,31 +46,89 @@ def brute_model(texts):
     return p
 
 
-@pytest.fixture(scope="module")
-def model(spark):
-    docs = spark.createDataFrame([(t,) for t in [*TEXTS, None]], "text string")
-    return kn.estimate(kn.count_grams(docs), Folder(spark, "test"))
-
-
-def test_model_equals_brute_force(model):
-    p = brute_model(TEXTS)
-    dense, arrays = kn.dense_costs(*model), kn.HashArrays(*model)
-    for t in [*TEXTS, "zebra | &&& QQ", "the cat"]:
-        s = symbols(t)
-        want = [-math.log2(p(tuple(s[k - kn.ORDER + 1:k + 1]))) for k in range(kn.ORDER - 1, len(s))]
-        keys = kn.grams(t)
-        assert np.allclose(dense[keys], want, atol=1e-4) and np.allclose(arrays.bits(keys), want, atol=1e-9)
-
-
-def test_probabilities_sum_to_one(model):
-    p = np.exp2(-kn.dense_costs(*model).astype(float)).reshape(-1, kn.BASE)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+def brute_cost(p, text):
+    s = " " * (kn.ORDER - 1) + text.replace("\0", "\1")
+    costs = [-math.log2(p(s[k:k + kn.ORDER])) for k in range(len(s) - kn.ORDER + 1)]
+    return (len(costs), sum(costs) / len(costs)) if costs else (0, None)
+
+
+@pytest.mark.parametrize("piece, bucket", [(1 << 22, 1 << 25), (7, 40)])
+def test_scores_equal_brute_force(spark, monkeypatch, piece, bucket):
+    """Every document by the model of the trusted documents of the other half, in one and in many buckets and pieces."""
+    monkeypatch.setattr(kn, "PIECE", piece)
+    monkeypatch.setattr(kn, "BUCKET", bucket)
+    texts = [*TEXTS, None, "zebra | &&& QQ", "the cat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trusted = spark.createDataFrame([(k,) for k in range(len(TEXTS)) if k != 4], "doc_id long")
+    number = 2 * max(1, -(-sum(len((t or "").encode()) for t in texts) // (2 * bucket)))
+    half = {r.doc_id: r.b % 2 for r in docs.select("doc_id", kn.bucket_of(kn.F.col("doc_id").cast("string"), number).alias("b")).collect()}
+    assert len(set(half.values())) == 2
+    models = [brute_model([t for k, t in enumerate(TEXTS) if k != 4 and half[k] != h]) for h in (0, 1)]
+    got = kn.scored(docs, trusted, Folder(spark, "test"), "text", "doc_id", ("n", "cost")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == list(enumerate(texts))
+    for r in got:
+        n, cost = brute_cost(models[half[r.doc_id]], r.text or "")
+        assert r.n == n and (cost is None) == (r.cost is None) and (cost is None or abs(r.cost - cost) < 1e-4)
+
+
+def test_model_sums_to_one(spark):
+    seen = Counter(g for t in TEXTS for s in [" " * 4 + t] for g in (s[k:k + 5] for k in range(len(s) - 4)))
+    letters = sorted({c for t in TEXTS for c in t} | {" "})
+    asked = [context + c for context in ("    ", "e ca") for c in [*letters, "\u4e00"]]
+    counts = spark.createDataFrame([(0, g, seen[g]) for g in {*asked, *seen}], "model int, gram string, c long")
+    p = {r.gram: r.p for r in kn.estimate(counts, Folder(spark, "test")).collect()}
+    for context in ("    ", "e ca"):
+        # every code point that no text has costs the same
+        unseen = (kn.ALPHABET - len(letters)) * p[context + "\u4e00"]
+        assert abs(sum(p[context + c] for c in letters) + unseen - 1) < 1e-9
 
 
 def test_no_training_text(spark):
-    docs = spark.createDataFrame([], "text string")
-    empty = kn.estimate(kn.count_grams(docs), Folder(spark, "test"))
-    assert np.allclose(kn.dense_costs(*empty), math.log2(kn.BASE)) and np.allclose(kn.HashArrays(*empty).bits(kn.grams("ab")), math.log2(kn.BASE))
+    docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
+    got = kn.scored(docs, docs.limit(0).select("doc_id"), Folder(spark, "test"), "text", "doc_id", ("n", "cost")).collect()
+    assert abs(got[0].cost - math.log2(kn.ALPHABET)) < 1e-5
+
+
+def test_bounds_equal_brute_force(spark):
+    """Own quantiles at every count, drawn to those of all languages; a null language is one of its own."""
+    rng = np.random.default_rng(5)
+    rows = [(k, lang, int(rng.integers(1, 900)), float(rng.normal(mid, 0.3))) for k, (lang, mid) in enumerate(
+        [("en", 2.0)] * 300 + [("fr", 3.0)] * 40 + [(None, 4.0)] * 7 + [("xx", 5.0)])]
+    scored = spark.createDataFrame([*rows, (900, "yy", 5, 9.0), (901, "en", 0, None)], "doc_id long, language string, symbols long, cost double")
+    trusted = spark.createDataFrame([(r[0],) for r in rows], "doc_id long")
+    tail = 0.02
+    got = {r.language: r for r in kn.bounds_of(scored, trusted, 200, tail).collect()}
+    assert set(got) == {"en", "fr", None, "xx"}
+    pick = lambda xs, q: sorted(xs)[max(0, math.ceil(q * len(xs)) - 1)]
+    centre = {lang: pick([c for _, a, _, c in rows if a == lang], 0.5) for lang in got}
+    away = {lang: [(n * c + 200 * centre[lang]) / (n + 200) - centre[lang] for _, a, n, c in rows if a == lang] for lang in got}
+    every = [x for xs in away.values() for x in xs]
+    for lang, r in got.items():
+        n = len(away[lang])
+        for side, q in (("low", tail), ("high", 1 - tail)):
+            want = centre[lang] + (n * pick(away[lang], q) + kn.DRAWN * pick(every, q)) / (n + kn.DRAWN)
+            assert abs(r[side] - want) < 1e-9
+
+
+def test_nonsense_is_rejected(spark):
+    """Clean texts with letters replaced by digits, Cyrillic letters or capitals, and words from all languages."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    clean = [r for r in docs.join(kn.trusted_ids(labels), "doc_id").orderBy("doc_id").collect() if 50 <= len((r.text or "").split()) < 2000][:60]
+    pool, rng, rows = [w for r in clean for w in r.text.split()], random.Random(3), []
+    swap = lambda t, letters: "".join(rng.choice(letters) if c.isalpha() else c for c in t)
+    kinds = {"digits": lambda t: swap(t, "0123456789"), "cyrillic": lambda t: swap(t, [chr(k) for k in range(0x430, 0x450)]),
+             "capitals": lambda t: swap(t, [chr(k) for k in range(65, 91)]), "shuffled": lambda t: " ".join(rng.sample(t.split(), len(t.split()))),
+             "mixed": lambda t: " ".join(rng.choice(pool) for _ in t.split())}
+    for kind, change in kinds.items():
+        rows += [(10**6 * (1 + len(rows)), change(r.text), r.lang, kind) for r in clean]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, kind string")
+    got = classify(docs.select("doc_id", "text", "lang").withColumn("kind", kn.F.lit("table")).unionByName(more), labels).select("kind", "accepted", "doc_id").collect()
+    share = {k: sum(not r.accepted for r in got if r.kind == k) / len(clean) for k in kinds}
+    print(share)
+    assert min(share[k] for k in ("digits", "cyrillic", "capitals")) >= 0.95
+    # words in the table are drawn at random, so their order tells little
+    assert share["mixed"] >= 0.6 and share["shuffled"] >= 0.3
 
 
 def test_classifier_on_labels(spark):
@@ -85,8 +140,7 @@ def test_classifier_on_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(poor) <= 0.5 * len(poor)
 
 
-def test_classifier_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(quality_classifier, "LEAST", 1)
+def test_classifier_odd_rows(spark):
     docs = odd(spark).selectExpr("*", "1 as score", "2 as bound", "3 as centre")
     labels = spark.createDataFrame([(1, 1, 0), (6, 1, 0), (6, 0, 0), (8, 1, 1), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     got = classify(docs, labels)
