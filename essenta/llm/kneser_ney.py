@@ -33,6 +33,7 @@ from essenta.llm.common import Folder, own_name
 ORDER = 5
 ALPHABET = 0x110000  # code points; below single code points the model is uniform over them
 BUCKET, CHUNK, PIECE = 32 << 20, 32 << 20, 1 << 22
+LEADING = 20  # bits of a hash that index the sorted ones
 DRAWN = 100  # rows of all languages that a language's own quantiles are drawn towards
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,7 +51,9 @@ def hashed(points: np.ndarray) -> np.ndarray:
         out ^= out >> np.uint64(29)
         out *= _STEP
         out += points[k:size + k]
-    return out ^ (out >> np.uint64(32))
+    out ^= out >> np.uint64(32)
+    out *= _STEP
+    return out
 
 
 def pieces(text: str) -> Iterator[np.ndarray]:
@@ -100,20 +103,26 @@ class Counts:
 
 
 class HashArrays:
-    """A bucket's part of the model: sorted hashes of its n-grams and their costs, looked up by binary search."""
+    """A bucket's part of the model: sorted hashes of its n-grams and their costs, looked up by leading bits."""
 
     def __init__(self, grams: list[str], bits: np.ndarray):
         points = np.array(grams, f"<U{ORDER}").view(np.uint32) if grams else np.zeros(0, np.uint32)
         keys = hashed(points)[::ORDER] if grams else np.zeros(0, np.uint64)
         order = keys.argsort()
         self.keys, self.costs = keys[order], bits[order]
+        self.starts = np.searchsorted(self.keys, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING)).astype(np.int32)
 
     def total(self, text: str) -> tuple[int, float]:
         """Number of code points and their cost in bits."""
         size, total = 0, 0.0
         for points in pieces(text):
             keys = hashed(points)
-            total += float(self.costs[np.searchsorted(self.keys, keys)].sum(dtype=np.float64))
+            at = self.starts[keys >> np.uint64(64 - LEADING)]
+            wrong = np.flatnonzero(self.keys[at] != keys)  # every n-gram was asked for, so each is found
+            while len(wrong):
+                at[wrong] += 1
+                wrong = wrong[self.keys[at[wrong]] != keys[wrong]]
+            total += float(self.costs[at].sum(dtype=np.float64))
             size += len(keys)
         return size, total
 
