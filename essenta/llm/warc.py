@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-LEAST_REVISIT, PACKAGE_BYTES, RANGE_BYTES = 100, 256 << 20, 4 << 20
+LEAST_REVISIT, PACKAGE_BYTES, RANGE_BYTES, TASK_BYTES = 100, 256 << 20, 4 << 20, 128 << 20
 RECORD_DATE = "2024-01-01T00:00:00Z"  # the pages carry no capture time
 
 
@@ -330,10 +330,15 @@ def read_packages(spark: SparkSession, folder: str, with_payload: bool = True, r
 
     ``payload_bytes`` and ``payload_digest`` are of the full payload, for revisits too; the
     payload itself is with the response that ``refers_to`` names. No packages give no rows.
+    Page ids are whole numbers; a record with another one ends the reading with a ValueError.
     """
-    packages = spark.read.schema("package string").parquet(f"{folder}/contents").repartition("package")
-    ranges = packages.mapInArrow(_index_step(f"{folder}/packages", range_bytes), "package string, offsets array<long>, lengths array<long>")
-    # the ranges are small; dealing them out spreads the reading over all executors
-    return ranges.repartition("package", F.get("offsets", F.lit(0))).mapInArrow(
+    packages = spark.read.schema("package string, bytes long").parquet(f"{folder}/contents")
+    count, size = packages.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    least = 3 * spark.sparkContext.defaultParallelism
+    # numbers are given, as adaptive execution would put the few names and ranges into one task
+    tasks = lambda units: max(1, min(units, max(least, size // TASK_BYTES)))
+    ranges = packages.select("package").repartition(tasks(count), "package").mapInArrow(
+        _index_step(f"{folder}/packages", range_bytes), "package string, offsets array<long>, lengths array<long>")
+    return ranges.repartition(tasks(count + size // range_bytes), "package", F.get("offsets", F.lit(0))).mapInArrow(
         _record_step(f"{folder}/packages", with_payload),
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, captured_at timestamp, payload binary")

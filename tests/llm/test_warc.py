@@ -52,6 +52,15 @@ def test_table_equals_sql(spark, tmp_path):
         [tuple(None if x != x else x for x in r) for r in views().execute(ORACLE["op6_zip_archives"]).fetchall()], key=repr)
 
 
+def test_reading_is_dealt_out(spark, tmp_path):
+    docs = spark.range(200).selectExpr("id as page_id", "concat('http://a/', id) as url", "concat(id, repeat(md5(string(id)), 40)) as html")
+    for name, package, span in [("many", 2000, 1 << 22), ("one", 1 << 28, 500)]:
+        write_packages(docs.repartition(1), str(tmp_path / name), package_bytes=package)
+        got = read_packages(spark, str(tmp_path / name), range_bytes=span)
+        assert got.count() == 200
+        assert got.select(warc.F.spark_partition_id()).distinct().count() > 4
+
+
 def test_no_rows(spark, tmp_path):
     write_packages(pages(spark).limit(0), str(tmp_path))
     assert read_packages(spark, str(tmp_path)).collect() == []
