@@ -32,6 +32,8 @@ _MAD_TO_SD = 0.6744897501960817
 _LEAF_ROWS = 2048
 _PIVOTS = 4096
 _WAYS = 4
+_TILE = 16  # blocks of neighbours that travel together: about 32,768 rows
+_PIECE = 128  # rows whose distances to a tile or to all pivots are in memory at once
 
 
 def gene_flags(gene: Column) -> dict[str, Column]:
@@ -180,24 +182,34 @@ def components(scaled: DataFrame, genes: DataFrame, k: int = 50) -> DataFrame:
 # Neighbours -----------------------------------------------------------------------
 
 
-def _closest(queries: np.ndarray, asking: np.ndarray, data: np.ndarray, names: np.ndarray, k: int) -> pd.DataFrame:
-    """Up to ``k`` rows of ``data`` for each query, itself excluded, by distance and then by name."""
+def _closest(
+    queries: np.ndarray, asking: np.ndarray, data: np.ndarray, names: np.ndarray, k: int, most: np.ndarray | None = None, piece: int = 512,
+) -> pd.DataFrame:
+    """Up to ``k`` rows of ``data`` for each query, itself excluded, by distance and then by name.
+
+    ``most``: a distance per query above which no row is wanted. ``piece`` queries are compared at a time.
+    """
     out: tuple[list, list, list] = ([], [], [])
     place = np.argsort(np.argsort(names, kind="stable"), kind="stable")
     squares = (data * data).sum(axis=1)
     own = {name: j for j, name in enumerate(names)}
-    for at in range(0, len(queries), 512):
-        part, who = queries[at:at + 512], asking[at:at + 512]
-        near = (part * part).sum(axis=1)[:, None] + squares[None, :] - 2 * part @ data.T
+    for at in range(0, len(queries), piece):
+        part, who = queries[at:at + piece], asking[at:at + piece]
+        near = part @ data.T
+        near *= -2
+        near += (part * part).sum(axis=1)[:, None]
+        near += squares[None, :]
         for i, name in enumerate(who):
             if name in own:
                 near[i, own[name]] = np.inf
-        m = min(k, len(names)) - 1
         # all that the fast form cannot tell from the k-th are measured exactly
-        cut_at = np.partition(near, m, axis=1)[:, m] if m >= 0 else np.full(len(part), np.inf)
         slack = 1e-9 * ((part * part).sum(axis=1) + squares.max(initial=0.0)) + 1e-12
+        bound = np.full(len(part), np.inf) if most is None else most[at:at + piece] ** 2 + slack
         for i, row in enumerate(near):
-            found = np.nonzero((row <= cut_at[i] + slack[i]) & (row < np.inf))[0]
+            found = np.nonzero((row <= bound[i]) & (row < np.inf))[0]
+            if len(found) > k:
+                close = row[found]
+                found = found[close <= np.partition(close, k - 1)[k - 1] + slack[i]]
             gap = np.sqrt(((part[i] - data[found]) ** 2).sum(axis=1))
             best = np.lexsort((place[found], gap))[:k]
             out[0].append(np.repeat(who[i], len(best)))
@@ -225,9 +237,11 @@ def nearest(z: DataFrame, k: int = 20, cell: int = _LEAF_ROWS, seed: int = 0) ->
     Exact at every size. Samples belong to the cell of their nearest pivot (a hash sample of
     at most ``_PIVOTS``), cells are dealt into blocks of about ``cell`` rows. The k-th distance
     inside the own block bounds the search; another block is asked only if the triangle inequality
-    with its pivot and radius does not rule it out. A block is sent to as many tasks as its asks
-    fill, so shipped rows grow with the asks; a task compares it with a bounded chunk of queries
-    and returns k rows per query. Ties go by name.
+    with its pivot and radius does not rule it out. Blocks of near cells travel as tiles of at most
+    ``_TILE`` blocks: a task compares a tile of queries with those blocks of another tile that any of the
+    queries asks for and returns at most k rows per query, so its memory does not grow with the
+    input. Where nothing can be ruled out (many dimensions), every tile meets every
+    other: pairs grow with the square of the rows. Ties go by name.
     """
     z = cut(z.select("sample", "z"))
     kind = z.schema["sample"].dataType.simpleString()
@@ -239,9 +253,10 @@ def nearest(z: DataFrame, k: int = 20, cell: int = _LEAF_ROWS, seed: int = 0) ->
 
     def place(batches):
         for pdf in batches:
-            if len(pdf):
-                gap = _gaps(np.vstack(pdf["z"].to_numpy()), pivots)
-                yield pdf.assign(cell=gap.argmin(1), gap=gap.min(1))
+            for at in range(0, len(pdf), _PIECE):
+                part = pdf.iloc[at:at + _PIECE]
+                gap = _gaps(np.vstack(part["z"].to_numpy()), pivots)
+                yield part.assign(cell=gap.argmin(1), gap=gap.min(1))
 
     placed = cut(z.mapInPandas(place, f"sample {kind}, z array<double>, cell long, gap double"))
     found = {r["cell"]: (r["radius"], -(-r["n"] // cell)) for r in placed.groupBy("cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
@@ -265,36 +280,44 @@ def nearest(z: DataFrame, k: int = 20, cell: int = _LEAF_ROWS, seed: int = 0) ->
     if blocks.sum() == 1:  # every sample was compared with all others
         return top_rows(found_here, ["sample"], [F.col("distance"), F.col("neighbour")], k)
 
+    # cells in the order of the nearest of a few pivots, so that a tile holds cells that lie together
+    far = _gaps(pivots, pivots[:max(1, int(np.sqrt(count)))])
+    order = np.lexsort((far.min(1), far.argmin(1)))
+    first = np.zeros(count, dtype=int)
+    first[order] = np.concatenate([[0], np.cumsum(blocks[order])[:-1]])
+    wide = int(min(_TILE, max(1, -(-blocks.sum() // 8))))
+    number = F.element_at(F.lit(first.tolist()).cast("array<int>"), (F.col("cell") + 1).cast("int")) + F.col("block")
+    tile = F.floor(number / wide).cast("int")
+
     def ask(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            gap = _gaps(np.vstack(pdf["z"].to_numpy()), pivots)
-            most = pdf["most"].to_numpy()[:, None]
-            who, where = np.nonzero(gap - radius[None, :] <= most + 1e-6 * (1 + np.where(np.isfinite(most), most, 0)))
-            times = blocks[where]
-            who, where = np.repeat(who, times), np.repeat(where, times)
-            block = np.concatenate([np.arange(t) for t in times]) if len(times) else np.array([], int)
-            other = (where != pdf["cell"].to_numpy()[who]) | (block != pdf["block"].to_numpy()[who])
-            who, where, block = who[other], where[other], block[other]
-            yield pd.DataFrame({"cell": where, "block": block, "sample": pdf["sample"].to_numpy()[who], "z": pdf["z"].to_numpy()[who]})
-
-    asks = cut(bounded.select("sample", "z", "cell", "block", "most").mapInPandas(ask, f"cell long, block int, sample {kind}, z array<double>"))
-    # tasks by demand: one row per asked block
-    wanted = asks.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / F.lit(8 * cell)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("sample", F.lit(1)), F.col("chunks")).cast("int").alias("chunk")
-    queries = asks.join(wanted, ["cell", "block"]).select("cell", "block", "sample", "z", chunk)
-    data = placed.join(wanted, ["cell", "block"]).select(
-        "cell", "block", "sample", "z", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+            for at in range(0, len(pdf), _PIECE):
+                part = pdf.iloc[at:at + _PIECE]
+                gap = _gaps(np.vstack(part["z"].to_numpy()), pivots)
+                most, mine = part["most"].to_numpy()[:, None], part["tile"].to_numpy()
+                hit = gap - radius[None, :] <= most + 1e-6 * (1 + np.where(np.isfinite(most), most, 0))
+                for t in np.unique(mine):
+                    asked = np.nonzero(hit[mine == t].any(axis=0) & (blocks > 0))[0]
+                    yield pd.DataFrame({"tile": np.full(len(asked), t), "cell": asked})
+
+    queries = bounded.select("sample", "z", "most", tile.alias("tile"))
+    asks = cut(queries.select("z", "most", "tile").mapInPandas(ask, "tile int, cell long").distinct())
+    to = F.explode(F.sequence(*[
+        F.floor((F.element_at(F.lit(ends.tolist()).cast("array<int>"), (F.col("cell") + 1).cast("int"))) / wide).cast("int")
+        for ends in (first, first + np.maximum(blocks, 1) - 1)]))
+    wanted = bounded_broadcast(asks.select("tile", to.alias("other")).distinct())
+    asked = queries.join(wanted, "tile")
+    data = placed.select("sample", "z", "cell", tile.alias("other")).join(bounded_broadcast(asks), "cell").drop("cell")
 
     def meet(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(stored):
             return pd.DataFrame({"sample": [], "neighbour": [], "distance": []})
-        return _closest(np.vstack(asked["z"].to_numpy()), asked["sample"].to_numpy(), np.vstack(stored["z"].to_numpy()), stored["sample"].to_numpy(), k)
+        return _closest(np.vstack(asked["z"].to_numpy()), asked["sample"].to_numpy(), np.vstack(stored["z"].to_numpy()), stored["sample"].to_numpy(),
+                        k, asked["most"].to_numpy(), _PIECE)
 
-    key = ["cell", "block", "chunk"]
-    pairs = queries.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(meet, f"sample {kind}, neighbour {kind}, distance double")
-    return top_rows(pairs.unionByName(found_here), ["sample"], [F.col("distance"), F.col("neighbour")], k)
+    key = ["tile", "other"]
+    pairs = asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(meet, f"sample {kind}, neighbour {kind}, distance double")
+    return top_rows(pairs, ["sample"], [F.col("distance"), F.col("neighbour")], k)
 
 
 def nearest_by_trees(z: DataFrame, k: int = 20, trees: int = 8, leaf: int = _LEAF_ROWS, seed: int = 0) -> DataFrame:

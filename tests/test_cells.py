@@ -65,6 +65,19 @@ def test_neighbours_exact_and_by_trees(spark):
     assert (np.isclose(found, want)).mean() > 0.8
 
 
+def test_neighbours_ship_no_vector_per_asked_block(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=(300, 16))  # nothing can be ruled out: every block is asked by all rows
+    df = spark.createDataFrame([(f"s{i:03d}", z[i].tolist()) for i in range(300)], "sample string, z array<double>")
+    stored, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda rows: stored.append(cut(rows)) or stored[-1])
+    got = S.nearest(df, 3, cell=7).toPandas().sort_values(["sample", "rank"])
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose(got["distance"].to_numpy().reshape(300, 3), np.sort(d, axis=1)[:, :3])
+    assert max(rows.count() for rows in stored) <= 600  # 300 rows, or few (tile, cell) pairs; before: 300 x 43
+
+
 def test_variable_genes_share(counts):
     values = counts.withColumn("value", F.log1p("count"))
     got = S.variable_genes(S.gene_moments(values, S.cell_number(counts)), number=3)
