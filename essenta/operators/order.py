@@ -24,7 +24,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from essenta.session import cut, split_rows
+from essenta.session import broadcast_rows, cut, split_rows
 
 _MAX_RANGES = 65536
 _OVERSAMPLE = 8
@@ -62,9 +62,9 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return top["largest"] or 0, top["total"] or 0
 
 
-def split_goal(df: DataFrame, keys: Sequence[str]) -> int | None:
-    """Rows per range when some group is too large for one task, else None."""
-    largest, total = group_sizes(df, keys)
+def split_goal(df: DataFrame, keys: Sequence[str], sizes: tuple[int, int] | None = None) -> int | None:
+    """Rows per range when some group is too large for one task, else None. ``sizes``: of ``group_sizes``, when known."""
+    largest, total = group_sizes(df, keys) if sizes is None else sizes
     goal = max(split_rows(df.sparkSession), -(-total // _MAX_RANGES))
     return goal if largest > goal else None
 
@@ -106,6 +106,7 @@ def running(
     mins: dict[str, str] | None = None,
     totals: dict[str, str] | None = None,
     largest: int | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Running values in ascending ``order`` within ``keys``.
 
@@ -113,11 +114,11 @@ def running(
     (``order`` must be unique within a group).
     ``mins``: output name -> column, the minimum up to and including this row.
     ``totals``: output name -> column, the sum over the whole group.
-    ``largest``: an upper bound of the group size, when the caller knows one.
+    ``largest``: an upper bound of the group size, when the caller knows one. ``sizes``: what ``group_sizes`` says of ``df``.
     """
     keys, sums, mins, totals = list(keys), sums or {}, mins or {}, totals or {}
     known_small = largest is not None and largest <= split_rows(df.sparkSession)
-    goal = None if known_small else split_goal(df, keys)
+    goal = None if known_small else split_goal(df, keys, sizes)
     if goal is None:
         return _windowed(df, keys or [F.lit(1)], order, sums, mins, totals)
 
@@ -166,6 +167,16 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, largest: int |
     return running(base, keys, [value], sums={"_before": "_c"}, totals={"_n": "_c"}, largest=largest)
 
 
+def tied_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Average-tie rank of each distinct (keys, value); broadcast where the table is small enough."""
+    keys = list(keys)
+    base = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = group_sizes(base, keys)
+    ranks = running(base, keys, [value], sums={"_before": "_c"}, sizes=sizes).select(
+        *keys, value, (F.col("_before") + (F.col("_c") + 1) / F.lit(2.0)).alias(out))
+    return F.broadcast(ranks) if sizes[1] <= broadcast_rows(df.sparkSession) else ranks
+
+
 def average_rank(
     df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", largest: int | None = None
 ) -> DataFrame:
@@ -183,9 +194,7 @@ def average_rank(
         w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(value)
         tied = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
         return rows.withColumn(out, F.rank().over(w) + (tied - 1) / F.lit(2.0))
-    ranks = value_counts(rows, keys, value, largest).select(
-        *keys, value, (F.col("_before") + (F.col("_c") + 1) / F.lit(2.0)).alias(out))
-    return rows.join(ranks, [*keys, value])
+    return rows.join(tied_ranks(rows, keys, value, out), [*keys, value])
 
 
 def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos") -> DataFrame:

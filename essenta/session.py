@@ -38,6 +38,10 @@ def split_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(SPLIT_ROWS_CONF, str(SPLIT_ROWS_DEFAULT)))
 
 
+def broadcast_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS_DEFAULT)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: the session's checkpoint folder.
 
@@ -107,6 +111,5 @@ def bounded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
-    spark = df.sparkSession
-    limit = rows or int(spark.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS_DEFAULT)))
+    limit = rows or broadcast_rows(df.sparkSession)
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -177,3 +177,24 @@ def test_group_matrix_orders_every_value_once(spark, split):
     # pairs are formed in the tasks after the order; before, every row was shuffled once per pair of its group
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and ("Window" not in plan or plan.index("Generate") < plan.index("Window"))
+
+
+def test_split_correlation_ranks_both_sides_from_the_rows(spark, monkeypatch):
+    from essenta.operators import order as O
+
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=400).round(1)
+    y = (x + rng.normal(size=400)).round(2)
+    df = spark.createDataFrame([("k", float(a), float(b)) for a, b in zip(x, y)], "g string, x double, y double")
+    spark.conf.set("spark.essenta.splitRows", "40")
+    sized, sizes = [], O.group_sizes
+    monkeypatch.setattr(O, "group_sizes", lambda rows, keys: sized.append(rows._jdf.queryExecution().optimizedPlan().toString()) or sizes(rows, keys))
+    try:
+        got = H.correlation_test(df, ["g"], "x", "y").collect()[0]
+    finally:
+        spark.conf.unset("spark.essenta.splitRows")
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    assert got.n == 400 and got.pearson == pytest.approx(np.corrcoef(x, y)[0, 1])
+    assert got.spearman == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+    # before, the ranks of y were taken from the join with those of x, which ran again each time
+    assert sized and not any("Join" in plan for plan in sized)
