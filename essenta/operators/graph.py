@@ -14,11 +14,12 @@ import warnings
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from essenta.operators.order import attach, position, split_goal, top_rows
+from essenta.operators.order import _MAX_RANGES, attach, group_sizes, position, top_rows
 from essenta.operators.topk import feature_set
-from essenta.session import cut, drop_cut, scratch_path
+from essenta.session import cut, drop_cut, scratch_path, split_rows
 
 _SETS = 32  # seed sets that walk together
+_MAX_PARTS = 8192
 
 
 def both_ways(edges: DataFrame, weight: str | None = "weight", merge: str = "min") -> DataFrame:
@@ -47,14 +48,17 @@ class HeldEdges:
 
     The edges of a hub above the split size go to several slots, and the state row of that
     hub is sent to each of them. At most 65,536 hubs can exceed the split size, so their
-    table is broadcast.
+    table is broadcast. ``width``: state rows per node (groups), each of which meets all edges of
+    its node: slots and partitions are that much smaller.
     """
 
-    def __init__(self, moves: DataFrame):
-        goal = split_goal(moves, ["src"])
-        parts = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, moves: DataFrame, width: int = 1):
+        largest, total = group_sizes(moves, ["src"])
+        most = max(1, split_rows(moves.sparkSession) // max(1, width))
+        goal = max(most, -(-total // _MAX_RANGES))
+        parts = max(int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(_MAX_PARTS, -(-total // most)))
         self.hubs = None
-        if goal is None:
+        if largest <= goal:
             self.table = moves.repartition(parts, "src").sortWithinPartitions("src").persist()
         else:
             hubs = moves.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > goal)
@@ -229,16 +233,22 @@ def nodes_per_distance(paths: DataFrame) -> DataFrame:
     return paths.groupBy("source", "distance").agg(F.count(F.lit(1)).alias("n"))
 
 
-def weighted_distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def group_edges(edges: DataFrame, starts: DataFrame) -> HeldEdges:
+    """The edges, kept for as many state rows per node as ``starts`` has groups."""
+    return HeldEdges(edges, starts.select("grp").distinct().count())
+
+
+def weighted_distances(edges: DataFrame, starts: DataFrame, held: HeldEdges | None = None) -> DataFrame:
     """Distance to the nearest start of each group: ``(grp, node, dist, root, pred)``.
 
     ``edges`` come from ``lengths``; ``starts``: (grp, node). Rounds of relaxation from the nodes that changed; ties go to
-    the smaller root, then the smaller predecessor.
+    the smaller root, then the smaller predecessor. ``held``: the edges, when the caller keeps them.
     """
     state = cut(starts.select(
         "grp", "node", F.lit(0.0).alias("dist"), F.col("node").alias("root"), F.lit(None).cast("string").alias("pred")))
     changed = state
-    held = HeldEdges(edges)
+    mine = held is None
+    held = group_edges(edges, state) if mine else held
     while True:
         offers = held.join(changed).select(
             "grp", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), "root", F.col("node").alias("pred"))
@@ -251,7 +261,8 @@ def weighted_distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
         changed = state.where("_new").drop("_new")
         state = state.drop("_new")
         if changed.limit(1).count() == 0:
-            held.release()
+            if mine:
+                held.release()
             return state
 
 
@@ -317,14 +328,16 @@ def steiner_trees(edges: DataFrame, terminals: DataFrame, length: str = "weight"
     Weights are lengths.
     """
     moves = lengths(edges, length)
-    near = weighted_distances(moves, terminals)
-    left = near.select("grp", F.col("node").alias("src"), F.col("dist").alias("_du"), F.col("root").alias("a"))
+    held = group_edges(moves, terminals)
+    near = weighted_distances(moves, terminals, held)
+    left = held.join(near.select("grp", "node", F.col("dist").alias("_du"), F.col("root").alias("a"))).drop("node")
     right = near.select("grp", F.col("node").alias("dst"), F.col("dist").alias("_dv"), F.col("root").alias("b"))
-    border = left.join(moves.where("src < dst"), "src").join(right, ["grp", "dst"]).where("a <> b").select(
+    border = left.where("src < dst").join(right, ["grp", "dst"]).where("a <> b").select(
         "grp", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
         (F.col("_du") + F.col("weight") + F.col("_dv")).alias("length"), "src", "dst")
     links = cut(border.groupBy("grp", "a", "b").agg(F.min(F.struct("length", "src", "dst")).alias("m")).select(
         "grp", "a", "b", "m.length", "m.src", "m.dst"))
+    held.release()
     kept = links.join(spanning_edges(links.select("grp", "a", "b", "length")), ["grp", "a", "b", "length"], "left_semi")
     tree = cut(kept.select("grp", "src", "dst"))
     ends = F.explode(F.array("src", "dst")).alias("node")
@@ -361,11 +374,13 @@ def subset_betweenness(edges: DataFrame, sources: DataFrame, targets: DataFrame,
     every = nodes(edges)
     n = every.count()
     starts = sources.select("node").distinct().join(every, "node", "left_semi").select(F.col("node").alias("grp"), "node")
-    dist = weighted_distances(moves, starts).select("grp", "node", "dist")
-    tail = dist.select("grp", F.col("node").alias("src"), F.col("dist").alias("_du"))
+    held = group_edges(moves, starts)
+    dist = weighted_distances(moves, starts, held).select("grp", "node", "dist")
+    tail = held.join(dist.select("grp", "node", F.col("dist").alias("_du"))).drop("node")
     head = dist.select("grp", F.col("node").alias("dst"), F.col("dist").alias("_dv"))
-    dag = cut(tail.join(moves, "src").join(head, ["grp", "dst"]).where(
+    dag = cut(tail.join(head, ["grp", "dst"]).where(
         F.col("_du") + F.col("weight") == F.col("_dv")).select("grp", "src", "dst"))
+    held.release()
 
     def rounds(first: DataFrame, move) -> DataFrame:
         """Sum over all hop counts of a linear step."""

@@ -3,6 +3,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from essenta.operators import graph as G
 
@@ -165,3 +166,26 @@ def test_interaction_helpers(spark):
     got = {r.name: r.id for r in G.map_names(spark.createDataFrame([("x",), ("z",)], "name string"), aliases).collect()}
     assert got == {"x": "id2", "z": None}
     assert {r.node: r.degree for r in G.degree(rows).collect()}["a"] == 20
+
+
+def test_hubs_are_split_by_the_rows_of_all_groups(spark, monkeypatch):
+    rows = [("hub", f"l{i:02d}", 1.0) for i in range(60)] + [("l00", "l01", 1.0)]
+    df = spark.createDataFrame(rows, "src string, dst string, weight double")
+    kept = []
+
+    class Seen(G.HeldEdges):
+        def __init__(self, *args):
+            super().__init__(*args)
+            kept.append((self.hubs is not None, self.table.groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0]))
+
+    monkeypatch.setattr(G, "HeldEdges", Seen)
+    spark.conf.set("spark.essenta.splitRows", "100")
+    try:
+        sources, targets = [f"l{i:02d}" for i in range(5)], ["l07", "l08"]
+        got = {r.node: r.betweenness for r in G.subset_betweenness(df, names(spark, *sources), names(spark, *targets)).collect()}
+    finally:
+        spark.conf.unset("spark.essenta.splitRows")
+    # 60 edges of the hub meet 5 state rows each, 300 rows: above the 100 of a task
+    assert kept and all(split and largest < 60 for split, largest in kept)
+    assert {k for k, v in got.items() if v} == {"hub"}
+    assert got["hub"] == pytest.approx(10 / (60 * 59))
