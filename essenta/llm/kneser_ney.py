@@ -19,7 +19,7 @@ quantiles. No text, n-gram or id passes the driver, and nothing is broadcast.
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,35 +32,38 @@ from essenta.llm.common import Folder, own_name
 
 ORDER = 5
 ALPHABET = 0x110000  # code points; below single code points the model is uniform over them
-BUCKET, CHUNK, PIECE = 32 << 20, 32 << 20, 1 << 22
+BUCKET, CHUNK, PIECE = 32 << 20, 32 << 20, 1 << 19
+ROWS = 1 << 16  # of a result that are sent to Spark at once
 LEADING = 20  # bits of a hash that index the sorted ones
 DRAWN = 100  # rows of all languages that a language's own quantiles are drawn towards
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _LAST, _REST = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 64) - 1), np.uint64(64 - LEADING)
 
 
-def code_points(text: str) -> np.ndarray:
-    """Code points after the spaces before the start; U+0000, which ends strings in arrays, is read as U+0001."""
-    return np.frombuffer((" " * (ORDER - 1) + text.replace("\0", "\1")).encode("utf-32-le", "replace"), np.uint32)
-
-
-def hashed(points: np.ndarray) -> np.ndarray:
-    """64-bit hash of the n-gram that ends at each code point from the first of the text on."""
-    size = len(points) - ORDER + 1
-    out = points[:size].astype(np.uint64)
+def hashed(columns: Sequence[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams, given their first, second and further code points."""
+    out = columns[0].astype(np.uint64)
     for k in range(1, ORDER):
         out ^= out >> np.uint64(29)
         out *= _STEP
-        out += points[k:size + k]
+        out += columns[k]
     out ^= out >> np.uint64(32)
     out *= _STEP
     return out
 
 
+def hashes(points: np.ndarray) -> np.ndarray:
+    """Hash of the n-gram that ends at each code point from the first of the text on."""
+    return hashed([points[k:len(points) - ORDER + 1 + k] for k in range(ORDER)])
+
+
 def pieces(text: str) -> Iterator[np.ndarray]:
-    """The code points in pieces of at most ``PIECE`` n-grams, so that very long texts need no more memory."""
-    points = code_points(text)
-    for start in range(0, len(points) - ORDER + 1, PIECE):
-        yield points[start:start + PIECE + ORDER - 1]
+    """The code points after the spaces before the start, in pieces of at most ``PIECE`` n-grams, so that very long texts need no more memory.
+
+    U+0000, which ends strings in arrays, is read as U+0001.
+    """
+    padded = " " * (ORDER - 1) + text.replace("\0", "\1")
+    for start in range(0, len(text), PIECE):
+        yield np.frombuffer(padded[start:start + PIECE + ORDER - 1].encode("utf-32-le", "replace"), np.uint32)
 
 
 def as_strings(points: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -68,11 +71,34 @@ def as_strings(points: np.ndarray, at: np.ndarray) -> np.ndarray:
     return rows.view(f"<U{ORDER}").ravel()
 
 
+class Hashes:
+    """Sorted hashes, looked up by leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.size = len(keys)
+        self.keys = np.append(keys, _LAST)  # where a search ends
+        self.starts = np.zeros((1 << LEADING) + 1, np.int32)
+        np.bincount((keys >> _REST).astype(np.int64), minlength=1 << LEADING).cumsum(out=self.starts[1:])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of the first hash that is not less than each of the keys."""
+        at = self.starts[keys >> _REST]
+        less = np.flatnonzero(self.keys[at] < keys)
+        while len(less):
+            at[less] += 1
+            less = less[self.keys[at[less]] < keys[less]]
+        return at
+
+
 class Counts:
-    """Distinct n-grams of a bucket with their counts, merged text after text."""
+    """Distinct n-grams of a bucket with their counts, merged ``PIECE`` by ``PIECE``.
+
+    Besides a piece only the distinct n-grams are in memory: the n-grams of a piece are looked up among
+    them, and those that are new are put in between.
+    """
 
     def __init__(self):
-        self.keys, self.grams, self.counts = np.zeros(0, np.uint64), np.zeros(0, f"<U{ORDER}"), np.zeros(0, np.int64)
+        self.known, self.grams, self.counts = Hashes(np.zeros(0, np.uint64)), np.zeros(0, f"<U{ORDER}"), np.zeros(0, np.int64)
         self.waiting: list[np.ndarray] = []
         self.shares: list[np.ndarray] = []
         self.size = 0
@@ -88,41 +114,42 @@ class Counts:
     def merge(self) -> None:
         if not self.waiting:
             return
-        keys = np.concatenate([hashed(p) for p in self.waiting])
-        # places of the n-grams in the joined code points: each piece has ORDER - 1 more of these
-        points, counted = np.concatenate(self.waiting), np.concatenate(self.shares)
-        lead = np.repeat(np.arange(len(self.waiting)) * (ORDER - 1), [len(s) for s in self.shares])
-        found, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        counts = np.bincount(which, counted, len(found)).astype(np.int64)
-        grams = as_strings(points, first + lead[first])
-        both = np.concatenate([self.keys, found])
-        self.keys, first, which = np.unique(both, return_index=True, return_inverse=True)
-        self.grams = np.concatenate([self.grams, grams])[first]
-        self.counts = np.bincount(which, np.concatenate([self.counts, counts]), len(self.keys)).astype(np.int64)
+        keys = np.concatenate([hashes(p) for p in self.waiting])
+        counted = np.concatenate(self.shares)
+        at = self.known.find(keys)
+        new = np.flatnonzero((at == self.known.size) | (self.known.keys[at] != keys))
+        if len(new):
+            # places of the n-grams in the joined code points: each piece has ORDER - 1 more of these
+            points, ends = np.concatenate(self.waiting), np.cumsum([len(s) for s in self.shares])
+            fresh, first = np.unique(keys[new], return_index=True)
+            first, places = new[first], at[new[first]]
+            grams = as_strings(points, first + np.searchsorted(ends, first, "right") * (ORDER - 1))
+            self.grams, self.counts = np.insert(self.grams, places, grams), np.insert(self.counts, places, 0)
+            self.known = Hashes(np.insert(self.known.keys[:-1], places, fresh))
+            at = self.known.find(keys)
+        self.counts += np.bincount(at[counted], minlength=self.known.size)
         self.waiting, self.shares, self.size = [], [], 0
 
 
 class HashArrays:
-    """A bucket's part of the model: sorted hashes of its n-grams and their costs, looked up by leading bits."""
-
-    def __init__(self, grams: list[str], bits: np.ndarray):
-        points = np.array(grams, f"<U{ORDER}").view(np.uint32) if grams else np.zeros(0, np.uint32)
-        keys = hashed(points)[::ORDER] if grams else np.zeros(0, np.uint64)
+    """A bucket's part of the model: sorted hashes of its n-grams and their costs."""
+
+    def __init__(self, grams: pa.ChunkedArray, bits: np.ndarray):
+        keys = [np.zeros(0, np.uint64)]
+        for chunk in grams.chunks:  # as many rows as Spark sends at once
+            points = np.array(chunk.to_pylist(), f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
+            keys.append(hashed(points.T))
+        keys = np.concatenate(keys)
         order = keys.argsort()
-        self.keys, self.costs = keys[order], bits[order]
-        self.starts = np.searchsorted(self.keys, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING)).astype(np.int32)
+        self.known, self.costs = Hashes(keys[order]), bits[order]
 
     def total(self, text: str) -> tuple[int, float]:
         """Number of code points and their cost in bits."""
         size, total = 0, 0.0
         for points in pieces(text):
-            keys = hashed(points)
-            at = self.starts[keys >> np.uint64(64 - LEADING)]
-            wrong = np.flatnonzero(self.keys[at] != keys)  # every n-gram was asked for, so each is found
-            while len(wrong):
-                at[wrong] += 1
-                wrong = wrong[self.keys[at[wrong]] != keys[wrong]]
-            total += float(self.costs[at].sum(dtype=np.float64))
+            keys = hashes(points)
+            # every n-gram was asked for, so each is found
+            total += float(self.costs[self.known.find(keys)].sum(dtype=np.float64))
             size += len(keys)
         return size, total
 
@@ -178,9 +205,9 @@ def bucket_grams(blobs: DataFrame, trusted: DataFrame, key: str, text: str) -> D
                 if value:
                     counts.add(value, name in known)
         counts.merge()
-        n = len(counts.keys)
         bucket = left.column("bucket")[0].as_py() if left.num_rows else 0
-        return pa.table({"bucket": pa.array(np.full(n, bucket), pa.int32()), "gram": pa.array(counts.grams.tolist(), pa.string()), "c": pa.array(counts.counts)})
+        found = pa.table({"bucket": pa.array(np.full(len(counts.grams), bucket), pa.int32()), "gram": pa.array(counts.grams, pa.string()), "c": pa.array(counts.counts)})
+        return pa.Table.from_batches(found.to_batches(ROWS), found.schema)
 
     return blobs.groupBy("bucket").cogroup(trusted.groupBy("bucket")).applyInArrow(step, "bucket int, gram string, c long")
 
@@ -252,7 +279,7 @@ def scored(docs: DataFrame, trusted: DataFrame, folder: Folder, text: str, doc_i
         "bucket", "gram", (-F.log2("p")).cast("float").alias("bits"))
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
-        part = HashArrays(right.column("gram").to_pylist(), right.column("bits").to_numpy())
+        part = HashArrays(right.column("gram"), right.column("bits").to_numpy())
         out = []
         for batch in unpacked(left):
             texts = batch.column(text).to_pylist()

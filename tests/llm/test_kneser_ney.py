@@ -1,8 +1,10 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from essenta.llm import kneser_ney as kn
@@ -71,6 +73,32 @@ def test_scores_equal_brute_force(spark, monkeypatch, piece, bucket):
         assert r.n == n and (cost is None) == (r.cost is None) and (cost is None or abs(r.cost - cost) < 1e-4)
 
 
+@pytest.mark.parametrize("letters, most", [(8, 60), (20_000, 150)])
+def test_counting_in_little_memory(letters, most):
+    """Few or many distinct n-grams of three million code points, in MB beside the texts; their costs are found again."""
+    drawn = np.random.default_rng(4).integers(0x4E00, 0x4E00 + letters, 3_000_000 if letters < 100 else 600_000).astype(np.uint32)
+    texts = [drawn[k:k + 50_000].tobytes().decode("utf-32-le") for k in range(0, len(drawn), 50_000)]
+    tracemalloc.start()
+    counts = kn.Counts()
+    for k, t in enumerate(texts):
+        counts.add(t, k % 3 == 0)
+    counts.merge()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < most
+    want = Counter()
+    for k, t in enumerate(texts):
+        for i in range(len(t)):
+            want[(" " * 4 + t)[i:i + 5]] += k % 3 == 0
+    grams = counts.grams.tolist()
+    assert len(grams) == len(want) and dict(zip(grams, counts.counts.tolist())) == want
+    costs = np.arange(len(grams), dtype=np.float32) % 17
+    part = kn.HashArrays(pa.chunked_array([grams[:1000], grams[1000:]], pa.string()), costs)
+    known = dict(zip(grams, costs.tolist()))
+    t = texts[-1]
+    assert part.total(t) == (len(t), sum(known[(" " * 4 + t)[i:i + 5]] for i in range(len(t))))
+
+
 def test_model_sums_to_one(spark):
     seen = Counter(g for t in TEXTS for s in [" " * 4 + t] for g in (s[k:k + 5] for k in range(len(s) - 4)))
     letters = sorted({c for t in TEXTS for c in t} | {" "})
