@@ -154,6 +154,11 @@ class HashArrays:
         return size, total
 
 
+def released() -> None:
+    """Gives memory that Arrow no longer needs back to the system: Spark keeps a worker for the stages to come."""
+    pa.default_memory_pool().release_unused()
+
+
 def bucket_of(key: Column, number: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(number)).cast("int")
 
@@ -170,6 +175,7 @@ def packed(docs: DataFrame, bucket: str) -> DataFrame:
                 yield from cut(waiting)
                 waiting, size = [], 0
         yield from cut(waiting)
+        released()
 
     def cut(waiting):
         if not sum(b.num_rows for b in waiting):
@@ -207,6 +213,7 @@ def bucket_grams(blobs: DataFrame, trusted: DataFrame, key: str, text: str) -> D
         counts.merge()
         bucket = left.column("bucket")[0].as_py() if left.num_rows else 0
         found = pa.table({"bucket": pa.array(np.full(len(counts.grams), bucket), pa.int32()), "gram": pa.array(counts.grams, pa.string()), "c": pa.array(counts.counts)})
+        released()
         return pa.Table.from_batches(found.to_batches(ROWS), found.schema)
 
     return blobs.groupBy("bucket").cogroup(trusted.groupBy("bucket")).applyInArrow(step, "bucket int, gram string, c long")
@@ -288,6 +295,7 @@ def scored(docs: DataFrame, trusted: DataFrame, folder: Folder, text: str, doc_i
             if extra:
                 new += [pa.array(c, pa.int64()) for c in zip(*[extra[1](t) for t in texts])]
             out.append(pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *new], names=[*columns, *fields]))
+        released()
         return pa.Table.from_batches(out) if out else empty
 
     fields = [*names, *([c.split()[0] for c in extra[0].split(", ")] if extra else [])]
