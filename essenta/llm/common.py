@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from essenta.session import scratch_path
+from essenta.session import plain_reads, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Row numbers have room for 2**23 files of 2**40 rows.
@@ -62,6 +63,7 @@ class Folder:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, scratch_path(spark, name)
+        plain_reads(spark)
 
     def write(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         writer = df.write.mode("overwrite")
@@ -80,9 +82,10 @@ class Folder:
         rows = df.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(place))
         # one row per file of a list that the driver has read already
         paths = sorted(r[0] for r in rows.select(f"{place}.file_path").distinct().collect())
-        known = self.spark.createDataFrame([(p, k << FILE_BITS) for k, p in enumerate(paths)], "file_path string, first long")
         file, first = own_name(rows, "file", "first")
-        known = F.broadcast(known.select(F.col("file_path").alias(file), F.col("first").alias(first)))
+        # from Arrow it is local to the driver; from a list it would start Python workers on the executors
+        known = F.broadcast(self.spark.createDataFrame(pa.table({
+            file: pa.array(paths, pa.string()), first: pa.array([k << FILE_BITS for k in range(len(paths))], pa.int64())})))
         joined = rows.join(known, F.col(f"{place}.file_path") == F.col(file))
         return joined.select(*df.columns, (F.col(first) + F.col(f"{place}.row_index")).alias(rid))
 

@@ -18,6 +18,7 @@ quantiles. No text, n-gram or id passes the driver, and nothing is broadcast.
 
 from __future__ import annotations
 
+import ctypes
 import io
 from collections.abc import Callable, Iterator, Sequence
 
@@ -155,8 +156,11 @@ class HashArrays:
 
 
 def released() -> None:
-    """Gives memory that Arrow no longer needs back to the system: Spark keeps a worker for the stages to come."""
+    """Gives memory that Arrow and numpy no longer need back to the system: Spark keeps a worker for the stages to come."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc, which else keeps what lies below anything in use
+    if trim:
+        trim(0)
 
 
 def bucket_of(key: Column, number: int) -> Column:
@@ -213,6 +217,7 @@ def bucket_grams(blobs: DataFrame, trusted: DataFrame, key: str, text: str) -> D
         counts.merge()
         bucket = left.column("bucket")[0].as_py() if left.num_rows else 0
         found = pa.table({"bucket": pa.array(np.full(len(counts.grams), bucket), pa.int32()), "gram": pa.array(counts.grams, pa.string()), "c": pa.array(counts.counts)})
+        del known, counts
         released()
         return pa.Table.from_batches(found.to_batches(ROWS), found.schema)
 
@@ -295,6 +300,7 @@ def scored(docs: DataFrame, trusted: DataFrame, folder: Folder, text: str, doc_i
             if extra:
                 new += [pa.array(c, pa.int64()) for c in zip(*[extra[1](t) for t in texts])]
             out.append(pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *new], names=[*columns, *fields]))
+        del part
         released()
         return pa.Table.from_batches(out) if out else empty
 

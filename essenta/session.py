@@ -17,6 +17,9 @@ SPLIT_ROWS_DEFAULT = 1_000_000
 BROADCAST_ROWS_CONF = "spark.essenta.broadcastRows"
 BROADCAST_ROWS_DEFAULT = 200_000
 
+# Whether Parquet files are read by the file system's vectored reads.
+VECTORED_CONF = "parquet.hadoop.vectored.io.enabled"
+
 
 def local_session(cores: str = "*", app: str = "essenta", partitions: int = 8) -> SparkSession:
     """A session for one machine. On a cluster the caller brings its own session."""
@@ -58,6 +61,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Read Parquet without vectored reads, unless the session says otherwise.
+
+    On local disks these keep a buffer outside the heap, as large as a column of a row group, in each
+    reading thread for as long as the executor lives.
+    """
+    if spark.conf.get(VECTORED_CONF, None) is None and spark.conf.get(f"spark.hadoop.{VECTORED_CONF}", None) is None:
+        spark.conf.set(VECTORED_CONF, "false")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint (survives the loss of executors)."""
     spark = df.sparkSession
