@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 
 from essenta.operators.order import _MAX_RANGES, attach, group_sizes, position, top_rows
 from essenta.operators.topk import feature_set
-from essenta.session import cut, drop_cut, scratch_path, split_rows
+from essenta.session import bounded_broadcast, cut, drop_cut, drop_path, drop_shuffles, scratch_path, split_rows
 
 _SETS = 32  # seed sets that walk together
+_FEWEST_SETS = 8  # sources of betweenness that move together on a graph of any size
+_SET_VALUES = 64_000_000  # nodes x sources that move together on a large graph
+_MOVED = 4_000_000  # values written after which shuffle files are deleted
 _MAX_PARTS = 8192
+_MAX_HUBS = 4096  # nodes whose rows are broadcast
+_HUB_DEGREE = 100
 
 
 def both_ways(edges: DataFrame, weight: str | None = "weight", merge: str = "min") -> DataFrame:
@@ -81,6 +86,46 @@ class HeldEdges:
         self.table.unpersist()
 
 
+class SharedEdges:
+    """Edges without lengths, held once for rounds of sums over neighbours that move little.
+
+    An edge is held at both ends, partitioned by ``src``; one between a hub and another node only at
+    the latter. What a hub sends is broadcast to its edges, and tasks add up what it receives before
+    that is moved, so neither is a row per edge. There are at most ``_MAX_HUBS`` hubs.
+    ``pairs``: (a, b), one row per edge.
+    """
+
+    def __init__(self, pairs: DataFrame):
+        total = pairs.count()
+        degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
+        self.hubs = cut(degrees.where(F.col("_n") > max(_HUB_DEGREE, 2 * total // _MAX_HUBS)).select("node"))
+        sides = pairs
+        for end in ("a", "b"):
+            hub = F.broadcast(self.hubs.select(F.col("node").alias(end), F.lit(True).alias(f"_{end}")))
+            sides = sides.join(hub, end, "left")
+        at_a = sides.where("_a IS NULL OR _b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        at_b = sides.where("_b IS NULL OR _a").select(F.col("b").alias("src"), F.col("a").alias("dst"))
+        spark = pairs.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(_MAX_PARTS, -(-4 * total // split_rows(spark))))
+        self.table = at_a.unionByName(at_b).repartition(parts, "src").sortWithinPartitions("src").persist()
+        self.table.count()
+
+    def nodes(self) -> DataFrame:
+        return self.table.select(F.col("src").alias("node")).unionByName(self.hubs).distinct()
+
+    def sent(self, state: DataFrame) -> DataFrame:
+        """State rows ``(node, ...)`` as they arrive at the neighbours of their node, to be added up by ``node``."""
+        given = [c for c in state.columns if c != "node"]
+        hubs = F.broadcast(self.hubs)
+        rest = state.join(hubs, "node", "left_anti").withColumnRenamed("node", "src")
+        most = state.join(hubs, "node", "left_semi").withColumnRenamed("node", "dst")
+        pushed = rest.join(self.table, "src").select(F.col("dst").alias("node"), *given)
+        return pushed.unionByName(self.table.join(F.broadcast(most), "dst").select(F.col("src").alias("node"), *given))
+
+    def release(self) -> None:
+        self.table.unpersist()
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 
@@ -246,7 +291,7 @@ def weighted_distances(edges: DataFrame, starts: DataFrame, held: HeldEdges | No
     """
     state = cut(starts.select(
         "grp", "node", F.lit(0.0).alias("dist"), F.col("node").alias("root"), F.lit(None).cast("string").alias("pred")))
-    changed = state
+    changed = stored = state
     mine = held is None
     held = group_edges(edges, state) if mine else held
     while True:
@@ -256,10 +301,12 @@ def weighted_distances(edges: DataFrame, starts: DataFrame, held: HeldEdges | No
         # an offer must beat the present entry, so equal ones never flip
         best = marked.groupBy("grp", "node").agg(
             F.min(F.struct("dist", "root", F.col("_new"), F.coalesce("pred", F.lit("")).alias("pred"))).alias("_b"))
-        state = cut(best.select("grp", "node", "_b.dist", "_b.root", F.nullif(F.col("_b.pred"), F.lit("")).alias("pred"),
+        after = cut(best.select("grp", "node", "_b.dist", "_b.root", F.nullif(F.col("_b.pred"), F.lit("")).alias("pred"),
                                 F.col("_b._new").alias("_new")))
-        changed = state.where("_new").drop("_new")
-        state = state.drop("_new")
+        drop_cut(stored)
+        stored = after
+        changed = after.where("_new").drop("_new")
+        state = after.drop("_new")
         if changed.limit(1).count() == 0:
             if mine:
                 held.release()
@@ -368,8 +415,11 @@ def subset_betweenness(edges: DataFrame, sources: DataFrame, targets: DataFrame,
     """Share of shortest paths between given sources and targets that run through a node.
 
     Scaled by 1 / ((n - 1)(n - 2)). Path counts run forward and dependencies run backward
-    along the shortest-path edges, one hop per round, all sources together.
+    along the shortest-path edges, one hop per round, all sources together. Without lengths
+    the edges on shortest paths are those between two levels, and no row per edge and source is made.
     """
+    if length is None:
+        return _hop_betweenness(edges, sources, targets)
     moves = lengths(edges, length)
     every = nodes(edges)
     n = every.count()
@@ -381,15 +431,21 @@ def subset_betweenness(edges: DataFrame, sources: DataFrame, targets: DataFrame,
     dag = cut(tail.join(head, ["grp", "dst"]).where(
         F.col("_du") + F.col("weight") == F.col("_dv")).select("grp", "src", "dst"))
     held.release()
+    drop_cut(moves)
 
     def rounds(first: DataFrame, move) -> DataFrame:
         """Sum over all hop counts of a linear step."""
         now = total = cut(first)
         while True:
-            now = cut(move(now))
+            former, now = now, cut(move(now))
             if now.limit(1).count() == 0:
-                return cut(total.groupBy("grp", "node").agg(F.sum("v").alias("v")))
-            total = cut(total.unionByName(now))
+                summed = cut(total.groupBy("grp", "node").agg(F.sum("v").alias("v")))
+                drop_cut(former)
+                drop_cut(total)
+                return summed
+            before, total = total, cut(total.unionByName(now))
+            drop_cut(former)
+            drop_cut(before)
 
     def forward(now: DataFrame) -> DataFrame:
         return now.withColumnRenamed("node", "src").join(dag, ["grp", "src"]).groupBy(
@@ -400,19 +456,115 @@ def subset_betweenness(edges: DataFrame, sources: DataFrame, targets: DataFrame,
     down = paths.select("grp", F.col("node").alias("dst"), F.col("v").alias("_sv"))
     shares = cut(dag.join(up, ["grp", "src"]).join(down, ["grp", "dst"]).select(
         "grp", "src", "dst", (F.col("_su") / F.col("_sv")).alias("_f")))
+    drop_cut(dag)
 
     def backward(now: DataFrame) -> DataFrame:
         return now.withColumnRenamed("node", "dst").join(shares, ["grp", "dst"]).groupBy(
             "grp", F.col("src").alias("node")).agg(F.sum(F.col("v") * F.col("_f")).alias("v"))
 
     ends = dist.join(targets.select("node").distinct(), "node", "left_semi").select("grp", "node", F.lit(1.0).alias("v"))
-    carried = rounds(ends, backward).join(ends.select("grp", "node", F.lit(1.0).alias("_own")), ["grp", "node"], "left")
+    carried = rounds(ends, backward)
+    drop_cut(shares)
+    carried = carried.join(ends.select("grp", "node", F.lit(1.0).alias("_own")), ["grp", "node"], "left")
     passed = carried.where("grp <> node").select("node", (F.col("v") - F.coalesce("_own", F.lit(0.0))).alias("v"))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     summed = passed.groupBy("node").agg((F.sum("v") * scale).alias("betweenness"))
     return every.join(summed, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
+def _hop_betweenness(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """``subset_betweenness`` when every edge counts 1.
+
+    A level has one row per node with a column per source, empty for sources that do not reach it there.
+    Edges go both ways, so what a level reaches is new or belongs to one of the two levels before, and
+    what it sends back counts where the level before has a number of paths. Levels are stored once; a pass
+    of at most ``_SETS`` sources (fewer on a large graph) deletes its own.
+    """
+    spark = edges.sparkSession
+    folder = scratch_path(spark, "between")
+    rows = _write_level(edges.select("src", "dst"), f"{folder}/edges")[0]
+    drop_shuffles(spark)
+    pairs = _write_level(rows.where("src <> dst").select(
+        F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), f"{folder}/pairs")[0]
+    drop_shuffles(spark)
+    held = SharedEdges(pairs)
+    alone = nodes(rows.where("NOT coalesce(src <> dst, false)"))  # loops and missing ends count as nodes
+    every, n = _write_level(held.nodes().unionByName(alone).distinct(), f"{folder}/nodes")
+    drop_path(spark, f"{folder}/edges")
+    starts = sources.select("node").distinct().join(every, "node", "left_semi")
+    numbered = cut(position(starts, [], ["node"], "_i"))
+    ends = bounded_broadcast(cut(targets.select("node").distinct().withColumn("_end", F.lit(True))))
+    groups = numbered.count()
+    most = max(_FEWEST_SETS, min(_SETS, _SET_VALUES // max(1, n)))
+    width = -(-groups // max(1, -(-groups // most)))
+    for first in range(0, groups, max(1, width)):
+        names = [f"_p{k}" for k in range(min(width, groups - first))]
+        start = numbered.where(F.col("_i").between(first + 1, first + len(names))).select(
+            "node", *[F.when(F.col("_i") == first + 1 + k, F.lit(1.0)).alias(c) for k, c in enumerate(names)])
+        at = f"{folder}/pass={first}"
+        passed = _hop_flows(held, _hop_counts(held, start, names, f"{at}/counts"), ends, names, f"{at}/flows")
+        passed.write.parquet(f"{folder}/passed/pass={first}")
+        drop_path(spark, at)
+    held.release()
+    drop_path(spark, f"{folder}/pairs")
+    if not groups:
+        return every.select("node", F.lit(0.0).alias("betweenness"))
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    summed = spark.read.schema(passed.schema).parquet(f"{folder}/passed").groupBy("node").agg((F.sum("v") * scale).alias("betweenness"))
+    return every.join(summed, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+
+
+def _hop_counts(held: SharedEdges, start: DataFrame, names: list[str], folder: str) -> list[DataFrame]:
+    """Level by level the nodes reached and the number of shortest paths to them."""
+    added = [F.expr(f"sum({c}) AS {c}") for c in names]
+    # minus infinity marks the sources that have reached a node before: no sum with it is above 0
+    known = ["node", *[f"if({c} IS NULL, NULL, double('-Infinity')) AS {c}" for c in names]]
+    fresh = ["node", *[f"if({c} > 0 AND NOT isnan({c}), {c}, NULL) AS {c}" for c in names]]
+    some = f"coalesce({', '.join(names)}) IS NOT NULL"
+    levels, moved = [_write_level(start, f"{folder}/level=0")[0]], 0
+    while True:
+        reach = held.sent(levels[-1])
+        for former in levels[-2:]:
+            reach = reach.unionByName(former.selectExpr(*known))
+        new = reach.groupBy("node").agg(*added).selectExpr(*fresh).where(some)
+        level, found = _write_level(new, f"{folder}/level={len(levels)}")
+        del reach, new
+        moved += found * len(names)
+        if moved > _MOVED:
+            drop_shuffles(held.table.sparkSession)
+            moved = 0
+        if not found:
+            return levels
+        levels.append(level)
+
+
+def _hop_flows(held: SharedEdges, levels: list[DataFrame], ends: DataFrame, names: list[str], folder: str) -> DataFrame:
+    """What passes through the nodes, ``(node, v)``, from the farthest level back; the first is the sources themselves.
+
+    A node sends back, for each source, its flow divided by its number of paths.
+    """
+    spark = held.table.sparkSession
+    added = [F.expr(f"sum({c}) AS _in{c}") for c in names]
+    sends = [f"CASE WHEN {c} IS NULL THEN NULL WHEN _end THEN 1 / {c} + coalesce(_in{c}, 0D) ELSE _in{c} END AS {c}" for c in names]
+    passed = " + ".join(f"coalesce({c} * _in{c}, 0D)" for c in names)
+    some = f"coalesce({', '.join(names)}) IS NOT NULL"
+    later, moved = levels[0].limit(0), 0
+    for at in range(len(levels) - 1, 0, -1):
+        came = held.sent(later).groupBy("node").agg(*added)
+        here = levels[at].join(ends, "node", "left").join(came, "node", "left")
+        later, found = _write_level(here.selectExpr("node", *sends, f"{passed} AS v").where(some), f"{folder}/level={at}")
+        later = later.drop("v")
+        del came, here
+        moved += found * len(names)
+        if moved > _MOVED:
+            drop_shuffles(spark)
+            moved = 0
+    if len(levels) == 1:
+        return later.select("node", F.lit(0.0).alias("v"))
+    kind = later.schema["node"].dataType.simpleString()
+    return spark.read.schema(f"node {kind}, v double").parquet(folder).groupBy("node").agg(F.sum("v").alias("v"))
+
+
 # Interaction tables ---------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -94,6 +95,12 @@ def drop_cut(df: DataFrame) -> None:
             drop_path(df.sparkSession, file.get())
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of steps whose frames are gone; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/essenta/{name}-{uuid.uuid4().hex}"

@@ -1,5 +1,6 @@
 import heapq
 import itertools
+import os
 
 import numpy as np
 import pytest
@@ -158,6 +159,81 @@ def test_subset_betweenness_against_all_paths(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("hub_degree", [3, 100])
+def test_hop_betweenness_against_all_paths(spark, monkeypatch, hub_degree):
+    monkeypatch.setattr(G, "_HUB_DEGREE", hub_degree, raising=False)
+    for name in ("_SETS", "_FEWEST_SETS"):  # several passes
+        monkeypatch.setattr(G, name, 2, raising=False)
+    rows = [(a, b, 1.0) for a, b, _ in random_graph(5, 16, 24)] + [("n90", "n91", 1.0)]
+    order = sorted(adjacency(rows))
+    # twice, the other way round, a loop, a missing end: the last two are nodes too
+    odd = [rows[0], (rows[1][1], rows[1][0], 1.0), ("lonely", "lonely", 1.0), (order[0], None, 1.0)]
+    df = spark.createDataFrame(rows + odd, "src string, dst string, weight double")
+    sources, targets = [*order[:5], "n90", "lonely", "absent"], [*order[3:9], "n91", "lonely"]
+    got = {r.node: r.betweenness for r in G.subset_betweenness(df, names(spark, *sources), names(spark, *targets), None).collect()}
+    n = len(order)
+    want = brute_betweenness(rows, [*order[:5], "n90"], [*order[3:9], "n91"])
+    assert sum(want.values()) > 0
+    scaled = {k: v * (n - 1) * (n - 2) / ((n + 1) * n) for k, v in want.items()}
+    assert got == pytest.approx({**scaled, "lonely": 0.0, None: 0.0})
+
+
+def test_hop_betweenness_of_nothing(spark):
+    loops = spark.createDataFrame([("a", "a"), ("b", "b")], "src string, dst string")
+    for sources in (["a"], ["absent"]):
+        got = G.subset_betweenness(loops, names(spark, *sources), names(spark, "b"), None).collect()
+        assert sorted((r.node, r.betweenness) for r in got) == [("a", 0.0), ("b", 0.0)]
+    assert G.subset_betweenness(loops.limit(0), names(spark, "a"), names(spark, "b"), None).collect() == []
+
+
+def test_hop_betweenness_stores_no_row_per_edge_and_source(spark, monkeypatch):
+    leaves = [f"l{i:03d}" for i in range(150)]
+    df = spark.createDataFrame([("hub", x) for x in leaves], "src string, dst string")
+    stored, cut, write = [], G.cut, G._write_level
+
+    def seen(df):
+        out = cut(df)
+        stored.append(out.count())
+        return out
+
+    def written(rows, path):
+        out = write(rows, path)
+        stored.append(out[1])
+        return out
+
+    monkeypatch.setattr(G, "cut", seen)
+    monkeypatch.setattr(G, "_write_level", written)
+    got = {r.node: r.betweenness for r in G.subset_betweenness(df, names(spark, *leaves[:10]), names(spark, *leaves[20:30]), None).collect()}
+    assert {k for k, v in got.items() if v} == {"hub"} and got["hub"] == pytest.approx(100 / (150 * 149))
+    assert max(stored) <= 2 * len(leaves)
+
+
+def test_what_a_hub_sends_is_added_up_where_its_edges_are(spark):
+    leaves = [f"l{i:03d}" for i in range(150)]
+    pairs = spark.createDataFrame([(x, "z") for x in leaves] + [("l000", "l001")], "a string, b string")
+    held = G.SharedEdges(pairs)
+    assert [r.node for r in held.hubs.collect()] == ["z"]
+    assert held.table.count() == 152 and held.table.where("src = 'z'").count() == 0
+    state = spark.createDataFrame([("z", 1.0), ("l000", 10.0), ("l002", 100.0)], "node string, v double")
+    got = {r.node: r.v for r in held.sent(state).groupBy("node").agg(F.sum("v").alias("v")).collect()}
+    assert got == {**dict.fromkeys(leaves, 1.0), "l001": 11.0, "z": 110.0}
+    held.release()
+
+
+def test_former_iterates_of_weighted_betweenness_are_deleted(spark, monkeypatch):
+    left = []
+    for hops in (4, 9):
+        df = spark.createDataFrame([(f"c{i}", f"c{i + 1}", 2.0) for i in range(hops)], "src string, dst string, weight double")
+        kept, cut = [], G.cut
+        with monkeypatch.context() as m:
+            m.setattr(G, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+            got = {r.node: r.betweenness for r in G.subset_betweenness(df, names(spark, "c0"), names(spark, f"c{hops}")).collect()}
+        assert sum(1 for v in got.values() if v) == hops - 1
+        files = [x._jdf.queryExecution().logical().rdd().getCheckpointFile().get() for x in kept]
+        left.append(sum(os.path.exists(f.removeprefix("file:")) for f in files))
+    assert left[0] == left[1]
+
+
 def test_interaction_helpers(spark):
     rows = spark.createDataFrame([("a", f"b{i}", 600.0 + 20 * i) for i in range(20)], "src string, dst string, score double")
     kept = G.confident_edges(rows)
